@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def in_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Splits Arrow batches so that each holds about `chars` bytes of text (a longer text stands alone)."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_pylist()
         begin = total = 0
         for i, size in enumerate(sizes):
             if i > begin and total + size > chars:
