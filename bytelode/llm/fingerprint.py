@@ -37,48 +37,48 @@ LANES = 32
 LEVELS = 5
 RANGES = 65_536
 ROWS_A_RANGE = 512
-_CELLS = LANES * LEVELS
 
 
 def units(text: Column) -> Column:
     """Hashes of a text's word pairs (even) and of its whole paragraphs (odd)."""
 
     def of(paragraph: Column) -> Column:
-        words = F.filter(F.split(paragraph, r"\s+"), lambda w: w != "")
+        words = F.filter(F.split(paragraph, " "), lambda w: w != "")
         pairs = let(words, lambda w: F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))), lambda a, b: F.xxhash64(a, b).bitwiseAND(F.lit(-2))))
         return F.concat(F.array(F.xxhash64(paragraph).bitwiseOR(F.lit(1))), pairs)
 
     return F.flatten(F.transform(F.filter(F.split(text, "\n"), lambda p: p != ""), of))
 
 
-def lanes(unit: Column) -> list[Column]:
-    """Aggregates that make the vector: WIDE paragraph lanes, the pair count, then the cells level by level."""
-    paragraph = unit.bitwiseAND(F.lit(1)) == 1
-    wide = [F.sum(F.when(paragraph, F.xxhash64(unit, F.lit(k)).bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(0)) for k in range(WIDE)]
-    count = F.sum(F.when(paragraph, 0).otherwise(1))
-    lane = F.shiftrightunsigned(unit, 1).bitwiseAND(F.lit(LANES - 1))
-    depth = F.shiftrightunsigned(unit, 8)
-    value = F.shiftrightunsigned(unit, 40).bitwiseAND(F.lit(0xFFFF)).bitwiseOR(F.lit(1))
-    cells = [
-        F.sum(F.when(~paragraph & (lane == i) & (depth.bitwiseAND(F.lit(8**k - 1)) == 0), value).otherwise(0))
-        for k in range(LEVELS)
-        for i in range(LANES)
-    ]
-    return [*wide, count, *cells]
-
-
 def _hex(column: Column, digits: int) -> Column:
     return F.lower(F.lpad(F.hex(column.bitwiseAND(F.lit(16**digits - 1))), digits, "0"))
 
 
-def packed(sums: list[str]) -> Column:
-    """The vector as lowercase hex: WIDE and count 8 digits each, cells 4."""
-    return F.concat(*[_hex(F.coalesce(F.col(c), F.lit(0)), 8 if i <= WIDE else 4) for i, c in enumerate(sums)])
+def summed(each: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys and `fingerprint` of each group of units `u` (null: none).
+
+    A group is summed by lane first, so that a unit updates a few sums instead of one
+    for every cell; then its at most LANES rows are put side by side.
+    """
+    u, paragraph = F.col("u"), F.col("u").bitwiseAND(F.lit(1)) == 1
+    depth, value = F.shiftrightunsigned(u, 8), F.shiftrightunsigned(u, 40).bitwiseAND(F.lit(0xFFFF)).bitwiseOR(F.lit(1))
+    wide = [F.sum(F.when(paragraph, F.xxhash64(u, F.lit(k)).bitwiseAND(F.lit(0xFFFFFFFF)))).alias(f"w{k}") for k in range(WIDE)]
+    pairs = F.count(F.when(~paragraph, 1)).alias("pairs")
+    cells = [F.sum(F.when(~paragraph & (depth.bitwiseAND(F.lit(8**k - 1)) == 0), value)).alias(f"c{k}") for k in range(LEVELS)]
+    lane = F.shiftrightunsigned(u, 1).bitwiseAND(F.lit(LANES - 1))
+    by_lane = each.groupBy(*keys, lane.alias("lane")).agg(*wide, pairs, *cells)
+    cell = F.concat(*[_hex(F.coalesce(F.col(f"c{k}"), F.lit(0)), 4) for k in range(LEVELS)])
+    whole = by_lane.groupBy(*keys).agg(
+        *[F.sum(f"w{k}").alias(f"w{k}") for k in range(WIDE)], F.sum("pairs").alias("pairs"),
+        F.map_from_entries(F.collect_list(F.when(F.col("lane").isNotNull(), F.struct("lane", cell.alias("cell"))))).alias("cells"))
+    lanes = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(LANES - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("cells", i), F.lit("0" * 4 * LEVELS)))
+    head = [_hex(F.coalesce(F.col(c), F.lit(0)), 8) for c in [*(f"w{k}" for k in range(WIDE)), "pairs"]]
+    return whole.select(*keys, F.concat(*head, F.array_join(lanes, "")).alias("fingerprint"))
 
 
 def _numbers(print_: Column) -> Column:
-    """All lanes of a fingerprint as longs."""
-    widths = [8] * (WIDE + 1) + [4] * _CELLS
+    """All numbers of a fingerprint as longs."""
+    widths = [8] * (WIDE + 1) + [4] * (LANES * LEVELS)
     starts = [1 + sum(widths[:i]) for i in range(len(widths))]
     return F.array(*[F.conv(F.substring(print_, s, w), 16, 10).cast("long") for s, w in zip(starts, widths)])
 
@@ -100,14 +100,14 @@ def remove(a: Column, b: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated multiset Jaccard similarity of the word pairs behind two fingerprints; 1 if these are equal."""
-    at = 1 + 8 * (WIDE + 1)
+    at = 1 + 8 * (WIDE + 1)  # then LANES cells of LEVELS numbers
     counts = [F.conv(F.substring(x, 1 + 8 * WIDE, 8), 16, 10).cast("double") for x in (a, b)]
     total = counts[0] + counts[1]
     cells = F.sequence(F.lit(0), F.lit(LANES - 1))
 
     def differing(level: int) -> Column:
         """How many cells of the level differ."""
-        differs = F.transform(cells, lambda i: (F.substr(a, F.lit(at + 4 * LANES * level) + 4 * i, F.lit(4)) != F.substr(b, F.lit(at + 4 * LANES * level) + 4 * i, F.lit(4))).cast("int"))
+        differs = F.transform(cells, lambda i: (F.substr(a, F.lit(at + 4 * level) + 4 * LEVELS * i, F.lit(4)) != F.substr(b, F.lit(at + 4 * level) + 4 * LEVELS * i, F.lit(4))).cast("int"))
         return F.aggregate(differs, F.lit(0), lambda s, x: s + x)
 
     def number(differing: Column, level: int) -> Column:
@@ -126,9 +126,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """`docs` rows (doc_id, text) with the fingerprint of each; a general form without neighbours."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.monotonically_increasing_id())
-    sums = [f"s{i}" for i in range(WIDE + 1 + _CELLS)]
-    each = rows.select("row", "doc_id", F.explode_outer(units(F.col("text"))).alias("u"))
-    return each.groupBy("row", "doc_id").agg(*[c.alias(n) for c, n in zip(lanes(F.col("u")), sums)]).select("doc_id", packed(sums).alias("fingerprint"))
+    return summed(rows.select("row", "doc_id", F.explode_outer(units(F.col("text"))).alias("u")), ["row", "doc_id"]).select("doc_id", "fingerprint")
 
 
 def with_neighbours(docs: DataFrame) -> DataFrame:
@@ -171,8 +169,7 @@ def compare(docs: DataFrame) -> DataFrame:
     rows = rows.select("bucket", "guest", "place", "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), F.explode(both).alias("b"))
     keys = ["bucket", "place", "side", "guest", "doc_id", "n_chars", "edited_sha256"]
     each = rows.select("bucket", "place", "b.side", "guest", "doc_id", "n_chars", "edited_sha256", F.explode_outer(units(F.col("b.t"))).alias("u"))
-    sums = [f"s{i}" for i in range(WIDE + 1 + _CELLS)]
-    prints = each.groupBy(*keys).agg(*[c.alias(n) for c, n in zip(lanes(F.col("u")), sums)]).select(*keys, packed(sums).alias("fingerprint"))
+    prints = summed(each, keys)
     order = Window.partitionBy("bucket").orderBy("place", "side")
     prints = prints.select(*keys, "fingerprint", F.lead("fingerprint", 1).over(order).alias("edited_fingerprint"), F.lead("fingerprint", 2).over(order).alias("next_fingerprint"))
     return prints.where("side = 0 and not guest").select(
