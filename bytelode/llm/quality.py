@@ -27,15 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, durable, in_chunks
+from .store import bounded_batches, durable, in_chunks, texts_of
 
 TRAIN_ROWS = 20_000
 #: What the classifier's belief about an unlabelled document counts against a label.
 BELIEF_WEIGHT = 0.2
 KEEP_AT = 0.5
+MOST_SITES = 100_000
 #: The most and least a site may add to the log odds.
 SITE_LIMIT = 1.5
 
@@ -138,12 +139,11 @@ def sites(believed: DataFrame, known: DataFrame) -> DataFrame:
     return joined.select("host", "path", "host_rate", ((F.col("good") + s_path * F.col("host_rate")) / (F.col("n") + s_path)).alias("path_rate"), F.lit(rate).alias("rate"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, host, path, evidence (classifier alone), path_rate, quality (posterior) and keep of every row.
+def fit(table: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[Logistic, DataFrame, DataFrame]:
+    """The document classifier, the table of documents with its belief (z, p), and the sites' posteriors.
 
     The classifier is fitted on at most `rows` labelled documents, those with the least hash of doc_id.
     """
-    table = durable(measured(docs, host, path))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("good")).where("doc_id is not null and good is not null")
     known = known.groupBy("doc_id").agg((F.max("good") > 0).cast("int").alias("good"))
     sample = table.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), F.xxhash64("x")).limit(rows).select("x", "good").collect()
@@ -154,11 +154,41 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
             x = batch.column(3).flatten().to_numpy().reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(model.logits(x))], names=["doc_id", "host", "path", "z"])
 
-    scored = table.mapInArrow(run, "doc_id long, host string, path string, z double")
-    believed = scored.withColumn("p", 1 / (1 + F.exp(-F.col("z"))))
-    site = durable(sites(believed, known))
+    believed = table.mapInArrow(run, "doc_id long, host string, path string, z double").withColumn("p", 1 / (1 + F.exp(-F.col("z"))))
+    return model, believed, durable(sites(believed, known))
+
+
+def site_odds() -> Column:
+    """What a site adds to the log odds; 0 where nothing is known of it."""
     odds = lambda p: F.log(F.col(p) / (1 - F.col(p)))
-    added = F.greatest(F.lit(-SITE_LIMIT), F.least(F.lit(SITE_LIMIT), odds("path_rate") - odds("rate")))
-    quality = 1 / (1 + F.exp(-(F.col("z") + F.coalesce(added, F.lit(0.0)))))
+    return F.coalesce(F.greatest(F.lit(-SITE_LIMIT), F.least(F.lit(SITE_LIMIT), odds("path_rate") - odds("rate"))), F.lit(0.0))
+
+
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, host, path, evidence (classifier alone), path_rate, quality (posterior) and keep of every row."""
+    _, believed, site = fit(durable(measured(docs, host, path)), labels, rows)
+    quality = 1 / (1 + F.exp(-(F.col("z") + site_odds())))
     out = believed.join(site, ["host", "path"], "left").select("doc_id", "host", "path", F.col("p").alias("evidence"), "path_rate", quality.alias("quality"))
     return out.withColumn("keep", F.col("quality") >= KEEP_AT)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of `docs`, with all their columns, that `classify` keeps.
+
+    Sites are few against documents. Up to MOST_SITES they are sent to all tasks and the
+    texts stay where they are; beyond that they meet by a shuffle.
+    """
+    model, _, site = fit(durable(measured(docs, host, path)), labels, rows)
+    added = site.select(F.col("host").alias("_site_host"), F.col("path").alias("_site_path"), site_odds().alias("_site_odds"))
+    added = F.broadcast(added) if site.count() <= MOST_SITES else added
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    met = docs.join(added, (text(host) == F.col("_site_host")) & (text(path) == F.col("_site_path")), "left").select(*docs.columns, "_site_odds")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_chunks(batches):
+            z = model.logits(np.array([features(t) for t in texts_of(batch)]))
+            z = z + np.array([x or 0.0 for x in batch.column(batch.num_columns - 1).to_pylist()])
+            kept = batch.filter(pa.array(z >= np.log(KEEP_AT / (1 - KEEP_AT))))
+            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
+
+    return met.mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, licenses, packing, pii, quality, simhash, topk, toxicity
+from . import bpe, fingerprint, licenses, lm, packing, pii, quality, simhash, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,12 +45,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licenses, op2_topk, op3_quality, op4_fingerprints, op5_simhash, op6_packing, op7_bpe, op8_toxicity, op10_pii)}
+    return {f.__name__: f for f in (op1_licenses, op2_topk, op3_quality, op4_fingerprints, op5_simhash, op6_packing, op7_bpe, op8_toxicity, op9_lm, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -116,3 +116,17 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     linked = merged.join(ids, "root").select("fp", "root_id")
     labels = durable(classes.join(linked, "fp", "left").select("fp", F.coalesce("root_id", "least_id").alias("component_id")))
     return hashed.join(labels, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, words: int = 3) -> DataFrame:
+    """The rows of `docs`, with all their columns, that stand for their group: of each component the least doc_id.
+
+    Of rows that repeat a doc_id the one with the least text hash stays; rows without a doc_id all stay.
+    """
+    found = near_duplicates(docs, words)
+    first = durable(found.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct())
+    named = docs.where("doc_id is not null")
+    kept = named.join(first, named["doc_id"].cast("long") == first["_first"], "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.col("text")))
+    kept = kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    return kept.unionByName(docs.where("doc_id is null"))

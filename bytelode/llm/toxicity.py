@@ -157,3 +157,16 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     return score(docs, train(docs, labels, rows))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of `docs`, with all their columns, that are not predicted toxic."""
+    bounded_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Any = sent.value
+        for batch in in_chunks(batches):
+            yield batch.filter(pa.array([own.score(t) < 0.5 for t in texts_of(batch)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
