@@ -39,13 +39,15 @@ from . import bpe
 from .store import bounded_batches, durable, in_chunks, texts_of
 
 TRAIN_DOCUMENTS = 3_000
-WINDOWS_A_DOCUMENT = 8
+WINDOWS_A_DOCUMENT = 16
 WINDOW, STRIDE, SIZE = 32, 24, 32
-SINGLES, GROUPS = 40, 24
+SINGLES, GROUPS = 48, 32
 CLASSES = 2 * (SINGLES + GROUPS)
 FREQUENT = 1 << 16
 LONGEST_FREQUENT = 256
-MIX = 0.5
+MIX = 0.4
+#: At least so many batches of 64 windows are learnt from.
+LEAST_STEPS = 2_500
 BATCH = 1024
 
 
@@ -134,12 +136,13 @@ class Network:
         g["emb"] = (used, rows)
         return loss, g
 
-    def train(self, ids: np.ndarray, target: np.ndarray, weight: np.ndarray, epochs: int = 3, rate: float = 3e-3, seed: int = 5) -> list[float]:
+    def train(self, ids: np.ndarray, target: np.ndarray, weight: np.ndarray, rate: float = 5e-3, seed: int = 5) -> list[float]:
         """Adam over shuffled windows; embeddings of subwords not in a batch rest."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         losses, step = [], 0
+        epochs = max(1, -(-LEAST_STEPS // -(-len(ids) // 64)))
         total = epochs * -(-len(ids) // 64)
         for _ in range(epochs):
             order = rng.permutation(len(ids))
@@ -371,7 +374,7 @@ def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     own = F.col("word").isNotNull()
     mixed = F.log10(F.lit(MIX) * c / max(model.tokens, 1) + F.lit(1 - MIX) * F.exp("attention") + F.lit(1e-300))
     parts = met.select(
-        "row", "doc_id", (F.col("n_tokens") + own.cast("long")).alias("n_tokens"), (F.col("n_known") + (own & (c > 0)).cast("long")).alias("n_known"),
+        "row", "doc_id", "n_tokens", (F.col("n_known") + (own & (c > 0)).cast("long")).alias("n_known"),
         (F.col("base") + F.when(own, F.log10((c + 0.5) / smooth)).otherwise(0.0)).alias("base"),
         (F.col("score") + F.when(own, mixed).otherwise(0.0)).alias("score"),
     )
