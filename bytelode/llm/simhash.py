@@ -28,6 +28,8 @@ from .store import bounded_batches, durable, forget, in_chunks, texts_of
 BITS = 64
 RADIUS = 2
 SEED = 42
+#: Short fingerprints for texts that need not be as close as two bits of the long one.
+TABLES = 12
 
 
 def fingerprint(text: str, words: int = 3, seed: int = SEED) -> int:
@@ -118,13 +120,89 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return hashed.join(labels, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, words: int = 3) -> DataFrame:
-    """The rows of `docs`, with all their columns, that stand for their group: of each component the least doc_id.
+def shingle_hashes(text: str, words: int, seed: int = SEED) -> np.ndarray:
+    """Distinct hashes of the word shingles of a whole text (fewer words: of all of them; none: empty)."""
+    import xxhash
+
+    parts = text.encode().lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(parts)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = max(1, len(parts) - words + 1)
+    last = ends[min(words, len(parts)) - 1 :]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), last.tolist())), np.uint64, n))
+
+
+def short_prints(hashes: np.ndarray) -> np.ndarray:
+    """TABLES independent SimHashes of 32 bits from one set of hashes."""
+    ones = np.zeros((TABLES // 2, BITS), np.int64)
+    with np.errstate(over="ignore"):
+        for k in range(0, len(hashes), 1 << 14):
+            for t in range(TABLES // 2):
+                mixed = (hashes[k : k + (1 << 14)] + np.uint64(t)) * np.uint64(0x9E3779B97F4A7C15)
+                mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                mixed ^= mixed >> np.uint64(31)
+                ones[t] += np.unpackbits(mixed.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), axis=1).view(">u4").reshape(-1).astype(np.int64)
+
+
+def similar_edges(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(classes, edges): the least doc_id of each class of equal word sequences, and verified links (a, b) between these.
+
+    Two bits of one long SimHash are too few for texts of this similarity, so there are
+    TABLES short ones; a pair is a candidate if it meets within two bits in any. Each
+    table's equal fingerprints are one row before they emit their variants. Every
+    candidate's similarity is then computed exactly from both whole texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in in_chunks(batches):
+            texts = texts_of(batch)
+            same = np.array([xxhash.xxh64_intdigest(b" ".join(t.encode().lower().split()), SEED) for t in texts], np.uint64).astype(np.int64)
+            prints = [short_prints(shingle_hashes(t, words)) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same), pa.array(prints, pa.list_(pa.int64()))], names=["doc_id", "same", "prints"])
+
+    bounded_batches(docs.sparkSession)
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null")
+    hashed = durable(texts.mapInArrow(run, "doc_id long, same long, prints array<long>"))
+    classes = durable(hashed.groupBy("same").agg(F.min("doc_id").alias("id")))
+    rows = hashed.join(classes, (hashed["same"] == classes["same"]) & (F.col("doc_id") == F.col("id"))).dropDuplicates(["id"])
+    rows = rows.select("id", F.posexplode("prints").alias("t", "p")).select("id", (F.shiftleft(F.col("t").cast("long"), 32) + F.col("p")).alias("key"))
+    rows = durable(rows)
+    least = durable(rows.groupBy("key").agg(F.min("id").alias("m")))
+    equal = rows.join(least, "key").where("id <> m").select(F.col("m").alias("a"), F.col("id").alias("b"))
+    masks = F.array(*[F.lit(x).cast("long") for x in [0, *(1 << b for b in range(32))]])
+    balls = least.select("m", F.explode(F.transform(masks, lambda x: F.col("key").bitwiseXOR(x))).alias("variant"))
+    near = balls.withColumn("a", F.min("m").over(Window.partitionBy("variant"))).where("a <> m").select("a", F.col("m").alias("b"))
+    edges = durable(equal.unionByName(near).distinct())
+    wanted = durable(edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct())
+    there = durable(texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]))
+    pairs = edges.join(there.select(F.col("doc_id").alias("a"), F.col("text").alias("text")), "a").join(there.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_chunks(batches):
+            keep = []
+            for x, y in zip(texts_of(batch), texts_of(batch, "other")):
+                x, y = shingle_hashes(x, words), shingle_hashes(y, words)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return classes, durable(pairs.select("a", "b", "text", "other").mapInArrow(verified, "a long, b long"))
+
+
+def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs`, with all their columns, that stand for their group: the least doc_id of texts linked by similarity.
 
-    Of rows that repeat a doc_id the one with the least text hash stays; rows without a doc_id all stay.
+    Of rows that repeat a doc_id one stays, the one with the least text hash; rows without a doc_id all stay.
     """
-    found = near_duplicates(docs, words)
-    first = durable(found.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct())
+    classes, edges = similar_edges(docs, words, similarity)
+    later = durable(components(edges).where("node <> root").select(F.col("node").alias("id")))
+    first = durable(classes.join(later, "id", "left_anti").select(F.col("id").alias("_first")).distinct())
     named = docs.where("doc_id is not null")
     kept = named.join(first, named["doc_id"].cast("long") == first["_first"], "left_semi")
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.col("text")))
