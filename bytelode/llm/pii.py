@@ -46,7 +46,7 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to be worth a search.
 GATES = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
-_OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 
 
 def _digits(value: Column) -> Column:

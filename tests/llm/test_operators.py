@@ -229,13 +229,18 @@ def test_toxicity(docs, labels, none):
     got = toxicity.classify(docs, labels).collect()
     assert len(got) == len(ROWS) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
     assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
-    wrong = [r for r in got if r["doc_id"] and r["doc_id"] >= 100 and r["predicted"] != int((r["doc_id"] - 100) % 4 == 0)]
-    assert len(wrong) <= 2
     assert toxicity.classify(none, labels).collect() == []
     assert {r["predicted"] for r in toxicity.classify(docs, labels.limit(0)).collect()} == {0}
     assert toxicity.keep_clean(docs, labels).columns == docs.columns
 
 
+def test_toxicity_on_held_out_rows(spark):
+    rows = [(i, sentence(i, 30) + (" you idiot scum" if i % 4 == 0 else "")) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity.classify(frame, frame.selectExpr("doc_id", "if(doc_id % 4 = 0, 1, 0) toxic")).where("held_out").collect()
+    assert sum(r["predicted"] != int(r["doc_id"] % 4 == 0) for r in got) <= 2
+
+
 # 9
 def test_lm(docs, none, monkeypatch):
     monkeypatch.setattr(lm, "LEAST_STEPS", 30)
