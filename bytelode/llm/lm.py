@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .store import bounded_batches, durable, in_chunks, texts_of
+from .store import bounded_batches, bounded_sample, durable, in_chunks, texts_of
 
 TRAIN_DOCUMENTS = 3_000
 WINDOWS_A_DOCUMENT = 16
@@ -279,6 +279,22 @@ def subword_counts(words: DataFrame, path: str | None) -> np.ndarray:
     return out
 
 
+def frequent_words(words: DataFrame) -> list:
+    """(word, c) of the most frequent words, at most FREQUENT, by a least count.
+
+    A histogram of counts in steps of an eighth of an octave finds that count, so no
+    partition sends more than what is kept.
+    """
+    short = words.where(F.octet_length("word") <= LONGEST_FREQUENT).withColumn("step", F.floor(F.log2("c") * 8))
+    least, total = 1 << 20, 0
+    for r in sorted(short.groupBy("step").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
+        total += r["n"]
+        if total > FREQUENT:
+            break
+        least = r["step"]
+    return short.where(F.col("step") >= least).select("word", "c").collect()
+
+
 def _encoded(words: list[bytes], known: Words, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Subword ids of words and the end, and where each word starts."""
     ids = [known[w] for w in words]
@@ -293,13 +309,13 @@ def fit(training: DataFrame, words: DataFrame, ends: int, path: str | None = Non
     vocabulary = bpe.encoder(path).vocabulary
     size, end_id = len(vocabulary.bytes), len(vocabulary.bytes) - 1
     tokens, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = words.where(F.octet_length("word") <= LONGEST_FREQUENT).orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
+    top = frequent_words(words)
     counts = subword_counts(words, path)
     counts[end_id] += ends
     begins = np.array([b[:1] == b" " for b in vocabulary.bytes])
     begins[end_id] = True
 
-    sample = training.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCUMENTS)
+    sample = bounded_sample(training.select("doc_id").distinct(), "doc_id", TRAIN_DOCUMENTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(path)

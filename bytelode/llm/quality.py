@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, durable, in_chunks, texts_of
+from .store import bounded_batches, bounded_sample, durable, in_chunks, texts_of
 
 TRAIN_ROWS = 20_000
 #: What the classifier's belief about an unlabelled document counts against a label.
@@ -146,7 +146,8 @@ def fit(table: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[Lo
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("good")).where("doc_id is not null and good is not null")
     known = known.groupBy("doc_id").agg((F.max("good") > 0).cast("int").alias("good"))
-    sample = table.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), F.xxhash64("x")).limit(rows).select("x", "good").collect()
+    sample = bounded_sample(table.join(known, "doc_id"), "doc_id", rows).select("doc_id", "x", "good").collect()
+    sample.sort(key=lambda r: (r["doc_id"], r["x"]))
     model = Logistic(np.array([r["x"] for r in sample]).reshape(len(sample), len(FEATURES)), np.array([float(r["good"]) for r in sample]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

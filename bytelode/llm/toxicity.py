@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, in_chunks, texts_of
+from .store import bounded_batches, bounded_sample, in_chunks, texts_of
 
 BUCKETS = 1 << 20
 FACTORS = 4
@@ -126,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     known = known.where("doc_id is not null and toxic is not null").where(remainder(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     there = texts.select("doc_id").distinct().join(known, "doc_id")
-    sample = there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded, so it may be broadcast
+    sample = bounded_sample(there, "doc_id", rows)  # bounded, so it may be broadcast
     chosen = texts.join(F.broadcast(sample), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
