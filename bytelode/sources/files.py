@@ -21,7 +21,7 @@ def blobs(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
 
 def arriving(spark: SparkSession, path: str) -> DataFrame:
     """The same as a stream of files that arrive in a directory."""
-    raw = spark.readStream.format("binaryFile").load(path)
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(path)
     return raw.select(F.col("path").alias("blob_id"), "path", "length", "content")
 
 
