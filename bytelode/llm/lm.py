@@ -48,7 +48,7 @@ LONGEST_FREQUENT = 256
 MIX = 0.4
 #: At least so many batches of 64 windows are learnt from.
 LEAST_STEPS = 2_500
-BATCH = 1024
+BATCH = 128
 
 
 def remainder(doc_id: Column) -> Column:
