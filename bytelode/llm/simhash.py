@@ -28,8 +28,8 @@ from .store import bounded_batches, durable, forget, in_chunks, texts_of
 BITS = 64
 RADIUS = 2
 SEED = 42
-#: Short fingerprints for texts that need not be as close as two bits of the long one.
-TABLES = 12
+#: Bands of so many least hashes each: a pair alike by 0.8 meets in none with a chance of (1 - 0.8^5)^32 = 3 in a million.
+BANDS, ROWS = 32, 5
 
 
 def fingerprint(text: str, words: int = 3, seed: int = SEED) -> int:
@@ -135,26 +135,28 @@ def shingle_hashes(text: str, words: int, seed: int = SEED) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), last.tolist())), np.uint64, n))
 
 
-def short_prints(hashes: np.ndarray) -> np.ndarray:
-    """TABLES independent SimHashes of 32 bits from one set of hashes."""
-    ones = np.zeros((TABLES // 2, BITS), np.int64)
-    with np.errstate(over="ignore"):
-        for k in range(0, len(hashes), 1 << 14):
-            for t in range(TABLES // 2):
-                mixed = (hashes[k : k + (1 << 14)] + np.uint64(t)) * np.uint64(0x9E3779B97F4A7C15)
-                mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                mixed ^= mixed >> np.uint64(31)
-                ones[t] += np.unpackbits(mixed.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes), axis=1).view(">u4").reshape(-1).astype(np.int64)
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys, each of ROWS least hashes of the set; two sets share a band's key with the chance similarity^ROWS. The empty set has none."""
+    import xxhash
 
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    rng = np.random.default_rng(SEED)
+    flip, times = rng.integers(0, 1 << 32, (2, BANDS * ROWS), np.uint32)
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.array([((short ^ f) * t).min() for f, t in zip(flip, times | np.uint32(1))], "<u4").reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(least[k].tobytes(), k) for k in range(BANDS)], np.uint64).astype(np.int64)
 
-def similar_edges(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(classes, edges): the least doc_id of each class of equal word sequences, and verified links (a, b) between these.
 
-    Two bits of one long SimHash are too few for texts of this similarity, so there are
-    TABLES short ones; a pair is a candidate if it meets within two bits in any. Each
-    table's equal fingerprints are one row before they emit their variants. Every
-    candidate's similarity is then computed exactly from both whole texts.
+def similar_edges(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(classes, edges): the least doc_id of each class of equal word sequences, and verified links (a, b) that connect these as all links would.
+
+    Two bits of a SimHash are too few for texts of this similarity, so a pair is a
+    candidate if it shares any of BANDS keys of least hashes. Every candidate's
+    similarity is computed exactly from both whole texts, in two passes: first stars from
+    the least id of each key, then all pairs of a key that the stars have not connected
+    and whose numbers of shingles allow the similarity. A large group of near copies
+    is therefore mostly connected before pairs are made.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,25 +165,9 @@ def similar_edges(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> t
         for batch in in_chunks(batches):
             texts = texts_of(batch)
             same = np.array([xxhash.xxh64_intdigest(b" ".join(t.encode().lower().split()), SEED) for t in texts], np.uint64).astype(np.int64)
-            prints = [short_prints(shingle_hashes(t, words)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same), pa.array(prints, pa.list_(pa.int64()))], names=["doc_id", "same", "prints"])
-
-    bounded_batches(docs.sparkSession)
-    texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null")
-    hashed = durable(texts.mapInArrow(run, "doc_id long, same long, prints array<long>"))
-    classes = durable(hashed.groupBy("same").agg(F.min("doc_id").alias("id")))
-    rows = hashed.join(classes, (hashed["same"] == classes["same"]) & (F.col("doc_id") == F.col("id"))).dropDuplicates(["id"])
-    rows = rows.select("id", F.posexplode("prints").alias("t", "p")).select("id", (F.shiftleft(F.col("t").cast("long"), 32) + F.col("p")).alias("key"))
-    rows = durable(rows)
-    least = durable(rows.groupBy("key").agg(F.min("id").alias("m")))
-    equal = rows.join(least, "key").where("id <> m").select(F.col("m").alias("a"), F.col("id").alias("b"))
-    masks = F.array(*[F.lit(x).cast("long") for x in [0, *(1 << b for b in range(32))]])
-    balls = least.select("m", F.explode(F.transform(masks, lambda x: F.col("key").bitwiseXOR(x))).alias("variant"))
-    near = balls.withColumn("a", F.min("m").over(Window.partitionBy("variant"))).where("a <> m").select("a", F.col("m").alias("b"))
-    edges = durable(equal.unionByName(near).distinct())
-    wanted = durable(edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct())
-    there = durable(texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]))
-    pairs = edges.join(there.select(F.col("doc_id").alias("a"), F.col("text").alias("text")), "a").join(there.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
+            sets = [shingle_hashes(t, words) for t in texts]
+            keys = pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same), pa.array([len(x) for x in sets], pa.int64()), keys], names=["doc_id", "same", "n", "keys"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches):
@@ -192,7 +178,32 @@ def similar_edges(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> t
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return classes, durable(pairs.select("a", "b", "text", "other").mapInArrow(verified, "a long, b long"))
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that are alike."""
+        pairs = durable(pairs.distinct())
+        wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        there = durable(texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]))
+        both = pairs.join(there.select(F.col("doc_id").alias("a"), "text"), "a").join(there.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
+        return durable(both.select("a", "b", "text", "other").mapInArrow(verified, "a long, b long"))
+
+    bounded_batches(docs.sparkSession)
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null")
+    hashed = durable(texts.mapInArrow(run, "doc_id long, same long, n long, keys array<long>"))
+    classes = durable(hashed.groupBy("same").agg(F.min("doc_id").alias("id")))
+    rows = hashed.join(classes, (hashed["same"] == classes["same"]) & (F.col("doc_id") == F.col("id"))).dropDuplicates(["id"])
+    least = Window.partitionBy("key")
+    rows = rows.select("id", "n", F.explode("keys").alias("key")).withColumn("a", F.min("id").over(least)).withColumn("last", F.max("id").over(least))
+    rows = durable(rows.where("a <> last").select("id", "n", "key", "a"))  # a key that no other text shares tells nothing
+    stars = linked(rows.where("a <> id").select("a", F.col("id").alias("b")))
+    met = durable(rows.join(components(stars).withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")))
+    # One component fills most keys; only keys with several are paired.
+    several = met.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    met = durable(met.join(several, "key", "left_semi"))
+    left, right = (met.select("key", F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("root").alias(f"root_{i}")) for i in ("a", "b"))
+    apart = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")))
+    apart = apart.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b")
+    tried = rows.where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    return classes, stars.unionByName(linked(apart.join(tried, ["a", "b"], "left_anti")))
 
 
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

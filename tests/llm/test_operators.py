@@ -146,6 +146,27 @@ def test_simhash(spark, docs, none):
     assert simhash.near_duplicates(none).collect() == [] and simhash.keep_first(none).collect() == []
 
 
+def test_near_copies_at_the_threshold(spark):
+    """Pairs alike by 0.80 to 0.82 are all found, and links that no star from the least id shows too."""
+    import random
+
+    rng, rows = random.Random(4), []
+    for k in range(150):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        changed = base[:]
+        changed[5 : 5 + 16 + k % 3] = [f"x{rng.randrange(10**6)}" for _ in range(16 + k % 3)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(changed))]
+    likeness = lambda x, y: len(x & y) / len(x | y)
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    assert all(0.8 <= likeness(sets[2 * k], sets[2 * k + 1]) < 0.83 for k in range(150))
+    # 1000 is too far from 1002, but 1001 is near to both; 1003 and 1004 are near each other alone.
+    base = [f"v{i}" for i in range(400)]
+    far = lambda a, b: " ".join(base[a:b])
+    rows += [(1000, far(0, 300)), (1001, far(25, 325)), (1002, far(50, 350)), (1003, far(90, 390)), (1004, far(95, 395))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_first(frame).collect()) == [*range(0, 300, 2), 1000, 1003]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r["node"]: r["root"] for r in simhash.components(edges).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100}
