@@ -5,10 +5,12 @@ also a few subword ids of a public byte-level vocabulary. Three parts make the m
 
 * Counts of all words of all training documents. Word counts also give the subwords'
   counts, as each distinct word is encoded once.
-* A causal self-attention network over subword ids, trained in numpy on windows from at
-  most `TRAIN_DOCUMENTS` training documents (those with the least hash of doc_id). It
-  predicts the class of the next subword; the subword's share of its class comes from the
-  counts of all training documents. Classes are either of subwords that begin a word or
+* A causal self-attention network over subword ids, trained in numpy. It starts from
+  windows of at most `TRAIN_DOCUMENTS` training documents (those with the least hash of
+  doc_id), as all tasks need one start; then every task learns from all windows of all its
+  training documents, each subword once, and the mean of the tasks' changes, weighted by
+  their windows, is the network. It predicts the class of the next subword; classes and
+  the subword's share of its class come from the counts of all training documents. Classes are either of subwords that begin a word or
   of ones that go on with it, so a word's probability includes that it ends there.
 * A mixture: P(word | context) = MIX * count / all + (1 - MIX) * P_attention(word | context).
 
@@ -46,8 +48,9 @@ CLASSES = 2 * (SINGLES + GROUPS)
 FREQUENT = 1 << 16
 LONGEST_FREQUENT = 256
 MIX = 0.4
-#: At least so many batches of 64 windows are learnt from.
+#: At least so many batches of 64 windows are learnt from at the start; RATE is the rate of the pass over all documents.
 LEAST_STEPS = 2_500
+RATE = 1e-3
 BATCH = 128
 
 
@@ -139,8 +142,7 @@ class Network:
     def train(self, ids: np.ndarray, target: np.ndarray, weight: np.ndarray, rate: float = 5e-3, seed: int = 5) -> list[float]:
         """Adam over shuffled windows; embeddings of subwords not in a batch rest."""
         rng = np.random.default_rng(seed)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        s = {k: np.zeros_like(v) for k, v in self.p.items()}
+        moments = self.moments()
         losses, step = [], 0
         epochs = max(1, -(-LEAST_STEPS // -(-len(ids) // 64)))
         total = epochs * -(-len(ids) // 64)
@@ -148,20 +150,47 @@ class Network:
             order = rng.permutation(len(ids))
             for at in range(0, len(order), 64):
                 some = order[at : at + 64]
-                loss, g = self.backward(ids[some], target[some], weight[some])
-                losses.append(loss)
                 step += 1
                 lr = rate * min(1.0, step / 50) * max(0.05, 1 - step / total)
-                for name, grad in g.items():
-                    rows, grad = grad if name == "emb" else (slice(None), grad)
-                    m[name][rows] += 0.1 * (grad - m[name][rows])
-                    s[name][rows] += 0.01 * (grad * grad - s[name][rows])
-                    self.p[name][rows] -= lr * m[name][rows] / (np.sqrt(s[name][rows]) + 1e-6)
+                losses.append(self.step(moments, ids[some], target[some], weight[some], lr))
         return losses
 
-
-def classify(ids: np.ndarray, before: np.ndarray, counts: np.ndarray, begins: np.ndarray, rounds: int = 8) -> np.ndarray:
-    """A class for each subword: the most frequent alone, others grouped by what they tend to follow."""
+    def moments(self) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+        return tuple({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+
+    def step(self, moments: tuple[dict[str, np.ndarray], dict[str, np.ndarray]], ids: np.ndarray, target: np.ndarray, weight: np.ndarray, lr: float) -> float:
+        """One step of Adam; the loss before it."""
+        m, s = moments
+        loss, g = self.backward(ids, target, weight)
+        for name, grad in g.items():
+            rows, grad = grad if name == "emb" else (slice(None), grad)
+            m[name][rows] += 0.1 * (grad - m[name][rows])
+            s[name][rows] += 0.01 * (grad * grad - s[name][rows])
+            self.p[name][rows] -= lr * m[name][rows] / (np.sqrt(s[name][rows]) + 1e-6)
+        return loss
+
+    def flat(self) -> np.ndarray:
+        """All parameters as rows of SIZE numbers, the embeddings' first."""
+        return np.concatenate([v.reshape(-1, SIZE) for v in self.p.values()])
+
+    def add(self, rows: np.ndarray, change: np.ndarray) -> None:
+        """Adds to rows of `flat`."""
+        whole, at = self.flat(), 0
+        whole[rows] += change
+        for k, v in self.p.items():
+            self.p[k] = whole[at : at + v.size // SIZE].reshape(v.shape)
+            at += v.size // SIZE
+
+
+def neighbours(counts: np.ndarray) -> np.ndarray:
+    """The column of each subword as a left neighbour: the 256 most frequent have their own."""
+    column = np.full(len(counts) + 1, 256)
+    column[np.argsort(-counts, kind="stable")[:256]] = np.arange(256)
+    return column
+
+
+def classify(ids: np.ndarray, columns: np.ndarray, met: np.ndarray, counts: np.ndarray, begins: np.ndarray, rounds: int = 8) -> np.ndarray:
+    """A class for each subword: the most frequent alone, others grouped by what they tend to follow (`met` times an id after a column)."""
     classes = np.zeros(len(counts), np.int16)
     for side in (True, False):
         own = np.flatnonzero(begins == side)
@@ -169,16 +198,12 @@ def classify(ids: np.ndarray, before: np.ndarray, counts: np.ndarray, begins: np
         first = 0 if side else CLASSES // 2
         classes[own[:SINGLES]] = first + np.arange(len(own[:SINGLES]))
         rest = own[SINGLES:]
-        # Rows of the subwords' neighbours to the left, of the 256 most frequent.
-        frequent = np.argsort(-counts, kind="stable")[:256]
-        column = np.full(len(counts) + 1, 256)
-        column[frequent] = np.arange(256)
         seen = rest[np.isin(rest, ids)]
         row = np.full(len(counts), -1)
         row[seen] = np.arange(len(seen))
         hit = row[ids] >= 0
         table = np.zeros((len(seen), 257), np.float32)
-        np.add.at(table, (row[ids[hit]], column[before[hit]]), 1)
+        np.add.at(table, (row[ids[hit]], columns[hit]), met[hit])
         weight = table.sum(axis=1)
         table = np.sqrt(table / np.maximum(weight, 1)[:, None])
         centres = table[np.argsort(-weight, kind="stable")[:GROUPS]]
@@ -303,8 +328,76 @@ def _encoded(words: list[bytes], known: Words, end_id: int) -> tuple[np.ndarray,
     return np.concatenate([*ids, [end_id]]).astype(np.int64), firsts
 
 
+def cover(ids: np.ndarray) -> np.ndarray:
+    """Windows of WINDOW + 1 ids (-1: none) in which each id but the first is a target once."""
+    places = range(0, max(1, len(ids) - 1), WINDOW)
+    out = np.full((len(places), WINDOW + 1), -1, np.int64)
+    for i, a in enumerate(places):
+        part = ids[a : a + WINDOW + 1]
+        out[i, : len(part)] = part
+    return out
+
+
+def examples(windows: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, targets, and which of them are there."""
+    x, y = windows[:, :-1].copy(), windows[:, 1:].copy()
+    there = y >= 0
+    x[x < 0], y[~there] = end_id + 1, end_id
+    return x, y, there
+
+
+def follow_counts(training: DataFrame, column: np.ndarray, end_id: int, path: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, column of the id before it, times) over all training documents; at most 257 times the vocabulary's size reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total = Words(path), np.zeros(257 * (end_id + 1), np.int64)
+        for batch in in_chunks(batches):
+            texts = [words_of(t) for t in texts_of(batch)]
+            known.learn(set(chain.from_iterable(texts)))
+            for own in texts:
+                ids, _ = _encoded(own, known, end_id)
+                np.add.at(total, 257 * ids + column[np.concatenate([[end_id + 1], ids[:-1]])], 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["at", "n"])
+
+    got = training.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").toArrow()
+    at, n = got["at"].to_numpy(), got["n"].to_numpy()
+    return at // 257, at % 257, n
+
+
+def learn_all(network: Network, training: DataFrame, end_id: int, path: str | None) -> None:
+    """A pass over every window of every training document; a row of parameters changes by the mean of the tasks that used it."""
+    sent = training.sparkSession.sparkContext.broadcast(network)  # bounded by the vocabulary
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, net, rng = Words(path), Network(sent.value.classes, sent.value.begins), np.random.default_rng(7)
+        net.p = {k: v.copy() for k, v in sent.value.p.items()}
+        moments, steps, seen = net.moments(), 0, 0
+        for batch in in_chunks(batches):
+            texts = [words_of(t) for t in texts_of(batch)]
+            known.learn(set(chain.from_iterable(texts)))
+            windows = np.concatenate([cover(np.concatenate([[end_id + 1], _encoded(own, known, end_id)[0]])) for own in texts])
+            rng.shuffle(windows)
+            for k in range(0, len(windows), 64):
+                x, y, there = examples(windows[k : k + 64], end_id)
+                steps += 1
+                net.step(moments, x, net.classes[y].astype(np.int64), there.astype(np.float32), RATE * min(1.0, steps / 50))
+            seen += len(windows)
+        change = net.flat() - sent.value.flat()
+        rows = np.flatnonzero(change.any(axis=1))
+        for k in range(0, len(rows), 4096):
+            some = rows[k : k + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(np.full(len(some), float(seen))), pa.array(list(change[some].astype(np.float64)), pa.list_(pa.float64()))], names=["row", "n", "change"])
+
+    told = training.select("text").mapInArrow(run, "row long, n double, change array<double>")
+    mean = F.array(*[F.sum(F.col("n") * F.col("change")[i]) / F.sum("n") for i in range(SIZE)])
+    got = told.groupBy("row").agg(mean.alias("change")).toArrow()
+    if got.num_rows:
+        network.add(got["row"].to_numpy(), np.array(got["change"].to_pylist(), np.float32))
+
+
 def fit(training: DataFrame, words: DataFrame, ends: int, path: str | None = None) -> Model:
-    """Counts of all training words; a network trained on windows of a bounded number of documents."""
+    """Counts of all training words; a network that starts from a bounded number of documents and then learns from all."""
     spark = training.sparkSession
     vocabulary = bpe.encoder(path).vocabulary
     size, end_id = len(vocabulary.bytes), len(vocabulary.bytes) - 1
@@ -333,13 +426,12 @@ def fit(training: DataFrame, words: DataFrame, ends: int, path: str | None = Non
     got = training.join(F.broadcast(sample), "doc_id").select("doc_id", "text").mapInArrow(run, "doc_id long, windows binary").collect()
     got.sort(key=lambda r: (r["doc_id"], bytes(r["windows"])))
     windows = np.frombuffer(b"".join(bytes(r["windows"]) for r in got[:TRAIN_DOCUMENTS]), "<i4").reshape(-1, WINDOW + 1).astype(np.int64)
-    x, y = windows[:, :-1].copy(), windows[:, 1:].copy()
-    there = y >= 0
-    x[x < 0], y[~there] = end_id + 1, end_id
-    classes = classify(y[there], x[there], counts, begins)
+    x, y, there = examples(windows, end_id)
+    classes = classify(*follow_counts(training, neighbours(counts), end_id, path), counts, begins)
     network = Network(classes, begins)
     if len(x):
         network.train(x, classes[y].astype(np.int64), there.astype(np.float32))
+    learn_all(network, training, end_id, path)
     smooth = counts + 0.1
     share = np.log(smooth / np.bincount(classes, smooth, CLASSES)[classes])
     known = {r["word"].encode(): r["c"] for r in top}

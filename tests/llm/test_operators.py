@@ -281,6 +281,27 @@ def test_lm(docs, none, monkeypatch):
     assert lm.score_documents(none).collect() == []
 
 
+def test_network_learns_from_all_texts(spark, monkeypatch):
+    """Subwords of documents outside the start's sample, and deep in a long one, have moved."""
+    import numpy as np
+
+    monkeypatch.setattr(lm, "LEAST_STEPS", 2)
+    monkeypatch.setattr(lm, "TRAIN_DOCUMENTS", 1)
+    rows = [(i, sentence(i, 900) + f" {name}") for i, name in enumerate(["zebra", "quartz", "violin", "marble"])]
+    rows += [(10 + i, sentence(i, 3)) for i in range(300)]
+    training = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    model = lm.fit(training, lm.word_counts(training), len(rows))
+    known = lm.Words(None)
+    own = {w for _, t in rows for w in lm.words_of(t)}
+    known.learn(own)
+    ids = np.unique(np.concatenate([known[w] for w in own]))
+    start = lm.Network(model.network.classes, model.network.begins).p["emb"]
+    assert (model.network.p["emb"][ids] != start[ids]).any(axis=1).all()
+    for n in (2, 32, 33, 34, 65, 100):
+        covered = lm.cover(np.arange(n))[:, 1:]
+        assert sorted(covered[covered >= 0].tolist()) == list(range(1, n))
+
+
 def test_network_gradient():
     import numpy as np
 
