@@ -13,13 +13,13 @@ are scanned each. Other columns are ignored. No text is cut.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import let, lower_ascii
 
-#: A text that holds none of these cannot hold any rule's words.
-GATE = r"(?i)licen|copyright|copyleft|spdx|public|commons|warrant|proprietary|reserved|permission|redistribut"
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -107,7 +107,8 @@ NOTICES = [
     ("no-warranty", "warrant", "provided as is without warranty(?: of any kind)?", 4, 0.3),
     ("copyright", "copyright", "copyright(?: c)? (?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?", 4, 0.3),
 ]
-_UNDER = "(?:dual )?(?:licen[sc]ed|released|distributed|available|provided|published|covered|offered|redistributed|shared) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
+_GIVEN = "(?:licen[sc]ed|released|distributed|available|provided|published|covered|offered|redistributed|shared) under"
+_UNDER = f"(?:dual )?{_GIVEN} (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
@@ -121,6 +122,22 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     return out
 
 
+def _needed(keyword: str, words: str) -> str:
+    """What every match of a rule holds: "licen", words without choices, or the rule's keyword."""
+    if keyword == "under":
+        return _GIVEN
+    rest, before = words, None
+    while rest != before:
+        before, rest = rest, re.sub(r"\(\?:[^()]*\)\?", "", rest)
+    if "licen" in re.sub(r"\(\?:[^()]*\)", "", rest):
+        return "licen"
+    return rest if re.fullmatch("[a-z0-9 ]+", rest) else keyword
+
+
+#: A text that holds none of these cannot hold any rule's words.
+GATE = "(?i)" + "|".join(sorted({_needed(k, w).replace(" ", SEPARATORS) for _, k, w, _, _ in rules()} | {"licen"}))
+
+
 def whole_words(words: str) -> str:
     return f"(?<![^ ])(?:{words})(?![^ ])"
 

@@ -45,6 +45,29 @@ def test_license_suppression(spark):
     assert got["labels"] == "gpl,lgpl-2.1"  # the general licence's name lies within the lesser's notice; the base label stays
 
 
+def rule_texts(words):
+    """Texts that a rule's words match: without and with what is optional, and by the first and last of each choice."""
+    for optional in (False, True):
+        for choice in (0, -1):
+            text = words.replace("licen[sc]e", "license").replace("[0-9]+", "4").replace("[0-9]{2}", "20")
+            while "(?:" in text:
+                text = re.sub(r"\(\?:([^()]*)\)(\??)", lambda m: "" if m[2] and not optional else m[1].split("|")[choice], text, count=1)
+            yield re.sub(r"(.)\?", r"\1" if optional else "", text)
+
+
+def test_license_gate(spark, monkeypatch):
+    """The scan says the same with and without its gate, for texts that match each rule."""
+    texts = [(k, t.upper().replace(" ", ", ") if k % 2 else t) for k, (_, _, words, _, _) in enumerate(licenses.rules()) for t in rule_texts(words)]
+    assert all(re.search(licenses.whole_words(w), " ".join(re.findall("[a-z0-9]+", t.lower()))) for (k, t) in texts for w in [licenses.rules()[k][2]])
+    names = ["Distributed under the BSD 3-Clause", "Released under the MIT terms", "Available under Apache 2.0", "This work is CC BY-SA 4.0", "CC0 1.0 Universal", "WTFPL", "FreeBSD", "nothing of the kind, mit under"]
+    frame = spark.createDataFrame(texts + [(1000 + k, t) for k, t in enumerate(names)], "doc_id long, text string")
+    gated = licenses.scan(frame).collect()
+    monkeypatch.setattr(licenses, "GATE", "")
+    assert sorted(gated, key=repr) == sorted(licenses.scan(frame).collect(), key=repr)
+    assert all(r["labels"] for r in gated if r["doc_id"] < 1000)
+    assert {r["doc_id"]: r["labels"] for r in gated if r["doc_id"] >= 1000 and r["labels"]} == {1000: "bsd-3-clause", 1002: "apache-2.0", 1001: "mit", 1003: "cc-by-sa-4.0", 1004: "cc0-1.0", 1005: "wtfpl", 1006: "bsd-2-clause"}
+
+
 # 2
 def test_topk(spark):
     rows = [(i, [math.sin(i * 7 + j) * (3 if i % 9 == 0 else 1) for j in range(10)]) for i in range(130)]
