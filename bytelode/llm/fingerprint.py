@@ -5,9 +5,10 @@ A fingerprint is a wide vector that adds up over a document's paragraphs:
 * `WIDE` lanes of 32 bits get a hash of each whole paragraph, modulo 2^32. Equal
   multisets of paragraphs have equal sums in any order; others differ but for chance.
 * `LEVELS` x `LANES` cells of 16 bits get, modulo 2^16, a hash of each pair of words
-  that follow each other in a paragraph. A pair belongs to one lane by its hash and to
-  level k with chance 8^-k. Where few pairs differ between two documents, few cells of a
-  level do, so the number of differing pairs can be read from the level that is not full.
+  that follow each other in a paragraph; any white space parts words, and the last word
+  makes a pair with nothing. A pair belongs to one lane by its hash and to level k
+  with chance 8^-k. Where few pairs differ between two documents, few cells of a level
+  do, so the number of differing pairs can be read from the level that is not full.
 * one lane counts the pairs.
 
 Sums of vectors are fingerprints of joined documents: `combine` inserts paragraphs and
@@ -34,7 +35,9 @@ from .store import let
 
 WIDE = 8
 LANES = 32
-LEVELS = 5
+#: The last level is read up to 109 x 8^8 differing pairs, more than the words a row of 2 GB can hold.
+LEVELS = 9
+SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 RANGES = 65_536
 ROWS_A_RANGE = 512
 
@@ -43,7 +46,7 @@ def units(text: Column) -> Column:
     """Hashes of a text's word pairs (even) and of its whole paragraphs (odd)."""
 
     def of(paragraph: Column) -> Column:
-        words = F.filter(F.split(paragraph, " "), lambda w: w != "")
+        words = F.filter(F.split(paragraph, SPACE), lambda w: w != "")
         pairs = let(words, lambda w: F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))), lambda a, b: F.xxhash64(a, b).bitwiseAND(F.lit(-2))))
         return F.concat(F.array(F.xxhash64(paragraph).bitwiseOR(F.lit(1))), pairs)
 
@@ -119,7 +122,7 @@ def likeness(a: Column, b: Column) -> Column:
     counted = [differing(k) for k in range(LEVELS)]
     estimate = reduce(lambda rest, k: let(counted[k], lambda d: F.when(d <= full, number(d, k)).otherwise(rest)), range(LEVELS - 2, -1, -1), number(counted[LEVELS - 1], LEVELS - 1))
     bounded = F.greatest(F.least(estimate, total), F.abs(counts[0] - counts[1]))
-    return F.when(a == b, 1.0).otherwise(let(bounded, lambda d: F.when(total > 0, (total - d) / (total + d)).otherwise(0.0)))
+    return F.when(a == b, 1.0).otherwise(let(bounded, lambda d: F.when(total > 0, (total - d) / (total + d)).otherwise(1.0)))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -133,6 +133,19 @@ def test_fingerprints_add_up(spark):
     assert both["sum"] == got[3] and both["rest"] == got[1] == got[4]
 
 
+def test_fingerprint_likeness_of_long_and_tabbed_texts(spark):
+    many = [" ".join(f"{c}{i}" for i in range(600_000)) for c in "ab"]
+    words = [f"w{i}" for i in range(200)]
+    other = words[:180] + [f"x{i}" for i in range(20)]
+    texts = [*many, "\t".join(words), "\t".join(other), "\n".join(words), "\n".join(other), " ", " \t"]
+    prints = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    frame = spark.createDataFrame([(i, prints[i], prints[i + 1]) for i in range(0, 8, 2)], "i int, a string, b string")
+    got = {r["i"]: r["x"] for r in frame.select("i", fingerprint.likeness(frame.a, frame.b).alias("x")).collect()}
+    assert got[0] < 0.25  # nothing is shared
+    assert abs(got[2] - 180 / 220) < 0.1 and abs(got[4] - 180 / 220) < 0.1
+    assert got[6] == 1  # no words
+
+
 # 5
 def brute_fingerprint(text):
     import xxhash
