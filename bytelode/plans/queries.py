@@ -213,8 +213,7 @@ printf('carved_%04d.', row_number() OVER (PARTITION BY page_id ORDER BY off) - 1
 def carve_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: scan, back up, drop near hits, filter, cut, trim, hash and score, without a shuffle."""
     pages = _table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
-    files = carve.carve(pages, "page_id").where(~F.col("kind").isin("gif", "pdf", "bmp", "wav", "avi", "webp"))
-    return files.select("page_id", "index", "name", "file_type", "offset", "size", "sha256", "confidence")
+    return carve.carve(pages, "page_id").select("page_id", "index", "name", "file_type", "offset", "size", "sha256", "confidence")
 
 
 def _filter_query(name: str, kind: str, frames: list[tuple[str, str]], sql: str) -> None:

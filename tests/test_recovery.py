@@ -28,6 +28,15 @@ def recovered(spark, *data):
     return files.orderBy("blob_id", "index").collect(), {r["blob_id"]: r for r in reports.collect()}
 
 
+def test_carve_files_of_all_kinds(spark, tmp_path):
+    """The query keeps files of kinds whose ends are trimmed, and scores the trim."""
+    pdf, gif = "%PDF-1.4\n" + "x" * 40 + "%%EOF\n", "GIF89a" + "y" * 40 + ";"
+    pages = spark.createDataFrame([(1, "z" * 40 + pdf + "tail" * 9), (2, "z" * 9 + gif + "tail" * 9), (3, "z" * 99)], "page_id long, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    found = {r["page_id"]: (r["offset"], r["size"], r["sha256"], r["confidence"]) for r in queries.carve_files(spark, str(tmp_path)).collect()}
+    assert found == {i: (at, len(t), hashlib.sha256(t.encode()).hexdigest(), 0.70) for i, at, t in ((1, 40, pdf), (2, 9, gif))}
+
+
 def test_three_files_in_a_row(spark):
     data = JPEG + b"\0" * 10 + PNG + PDF
     found, reports = recovered(spark, data)
