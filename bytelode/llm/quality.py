@@ -16,7 +16,8 @@ with a third of all documents is summed before it is shuffled.
 
 Defined results: null text is empty text; a null host or path is the empty one.
 Unlabelled or null labels are not learnt from; a document labelled twice counts as
-good if one label says so. Without labels of both kinds the classifier gives 0.5.
+good if one label says so; of rows that share a doc_id the classifier learns from one,
+that with the least features. Without labels of both kinds the classifier gives 0.5.
 Repeated rows each count, and get equal results. Other columns are ignored.
 """
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, bounded_sample, durable, in_chunks, texts_of
+from .store import bounded_batches, bounded_sample, durable, in_chunks, texts_of, unused
 
 TRAIN_ROWS = 20_000
 #: What the classifier's belief about an unlabelled document counts against a label.
@@ -146,7 +147,8 @@ def fit(table: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[Lo
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("good")).where("doc_id is not null and good is not null")
     known = known.groupBy("doc_id").agg((F.max("good") > 0).cast("int").alias("good"))
-    sample = bounded_sample(table.join(known, "doc_id"), "doc_id", rows).select("doc_id", "x", "good").collect()
+    labelled = table.join(known, "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.max("good").alias("good"))  # one row however often an id repeats
+    sample = bounded_sample(labelled, "doc_id", rows).collect()
     sample.sort(key=lambda r: (r["doc_id"], r["x"]))
     model = Logistic(np.array([r["x"] for r in sample]).reshape(len(sample), len(FEATURES)), np.array([float(r["good"]) for r in sample]))
 
@@ -180,10 +182,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: st
     texts stay where they are; beyond that they meet by a shuffle.
     """
     model, _, site = fit(durable(measured(docs, host, path)), labels, rows)
-    added = site.select(F.col("host").alias("_site_host"), F.col("path").alias("_site_path"), site_odds().alias("_site_odds"))
+    site_host, site_path, odds = (unused(docs, n) for n in ("_site_host", "_site_path", "_site_odds"))
+    added = site.select(F.col("host").alias(site_host), F.col("path").alias(site_path), site_odds().alias(odds))
     added = F.broadcast(added) if site.count() <= MOST_SITES else added
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    met = docs.join(added, (text(host) == F.col("_site_host")) & (text(path) == F.col("_site_path")), "left").select(*docs.columns, "_site_odds")
+    met = docs.join(added, (text(host) == F.col(site_host)) & (text(path) == F.col(site_path)), "left").select(*docs.columns, odds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches):

@@ -61,12 +61,20 @@ def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     all before they are ordered; ordering all would send `most` rows of every partition.
     """
     place = F.shiftrightunsigned(F.xxhash64(key), 1)
-    n = rows.count()
-    if n > most:
-        rows = rows.where(place < int(2**63 * min(1.0, 1.2 * most / n + 200 / n)))
+    share = (1.2 * most + 200) / max(rows.count(), 1)
+    if share < 1:
+        rows = rows.where(place < int(2**63 * share))
     return rows.orderBy(place, key).limit(most)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of `df` is called so (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

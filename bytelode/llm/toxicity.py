@@ -11,7 +11,8 @@ doc_id), never on held-out ones; only the `TERMS` buckets that go with the
 label most clearly have weights. Every document is scored by its whole text.
 
 Defined results: null or empty text gets the score of no terms. Labels that are null
-are not learnt from; a doc_id labelled twice counts as toxic if one label says so. A
+are not learnt from; a doc_id labelled twice counts as toxic if one label says so, and of
+rows that share a doc_id one is learnt from (that with the least terms). A
 null doc_id is held_out false and never learnt from. Without any usable labels all
 scores are 0. Repeated rows get equal scores; other columns are ignored.
 """
@@ -135,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
             toxic = batch.column(batch.schema.get_field_index("toxic"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), toxic], names=["doc_id", "terms", "toxic"])
 
-    got = chosen.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, terms binary, toxic int").collect()
+    measured = chosen.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, terms binary, toxic int")
+    got = measured.groupBy("doc_id").agg(F.min("terms").alias("terms"), F.max("toxic").alias("toxic")).collect()  # at most `rows`, however often an id repeats
     got.sort(key=lambda r: (r["doc_id"], bytes(r["terms"])))
     return fit([np.frombuffer(r["terms"], np.int32) for r in got], np.array([float(r["toxic"] > 0) for r in got]))
 
