@@ -20,16 +20,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, durable, forget, in_chunks, texts_of
+from .store import bounded_batches, durable, forget, in_chunks, lower_ascii, texts_of
 
 BITS = 64
 RADIUS = 2
 SEED = 42
 #: Bands of so many least hashes each: a pair alike by 0.8 meets in none with a chance of (1 - 0.8^5)^32 = 3 in a million.
 BANDS, ROWS = 32, 5
+#: Beyond so many members outside a key's largest group these are dealt by two bands at once.
+APART = 256
 
 
 def fingerprint(text: str, words: int = 3, seed: int = SEED) -> int:
@@ -86,8 +88,9 @@ def components(edges: DataFrame) -> DataFrame:
     told = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _stars(both, keep=F.col("v") > F.col("u"))
+        large = durable(_stars(both, keep=F.col("v") > F.col("u")))
         small = durable(_stars(large, keep=F.lit(True), centre=True))
+        forget(large)
         seen = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         forget(edges)
         edges = small
@@ -100,8 +103,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _stars(edges: DataFrame, keep, centre: bool = False) -> DataFrame:
     """Links the neighbours v of each u that `keep` holds for to the least of v and u; with `centre` also u itself."""
-    least = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-    linked = edges.withColumn("m", least)
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))  # summed up before the shuffle, so a hub costs a row a task
+    linked = edges.join(least, "u").withColumn("m", F.least("m", "u"))
     out = linked.where(keep & (F.col("v") != F.col("m"))).select(F.col("v").alias("u"), F.col("m").alias("v"))
     if centre:
         out = out.unionByName(linked.where("u != m").select("u", F.col("m").alias("v")))
@@ -135,87 +138,135 @@ def shingle_hashes(text: str, words: int, seed: int = SEED) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), last.tolist())), np.uint64, n))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """BANDS keys, each of ROWS least hashes of the set; two sets share a band's key with the chance similarity^ROWS. The empty set has none."""
-    import xxhash
-
-    if not len(hashes):
-        return np.zeros(0, np.int64)
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """BANDS rows of ROWS least hashes (MinHash) of a set that is not empty; two sets agree in each with the chance of their similarity."""
     rng = np.random.default_rng(SEED)
     flip, times = rng.integers(0, 1 << 32, (2, BANDS * ROWS), np.uint32)
     short = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.array([((short ^ f) * t).min() for f, t in zip(flip, times | np.uint32(1))], "<u4").reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(least[k].tobytes(), k) for k in range(BANDS)], np.uint64).astype(np.int64)
+    return np.array([((short ^ f) * t).min() for f, t in zip(flip, times | np.uint32(1))], "<u4").reshape(BANDS, ROWS)
 
 
-def similar_edges(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(classes, edges): the least doc_id of each class of equal word sequences, and verified links (a, b) that connect these as all links would.
+def word_digest(text: Column) -> Column:
+    """128 bits of a text's word sequence, A-Z lower-cased."""
+    return F.md5(F.encode(F.trim(F.regexp_replace(lower_ascii(text), r"[\x20\x09-\x0D]+", " ")), "UTF-8"))
 
-    Two bits of a SimHash are too few for texts of this similarity, so a pair is a
-    candidate if it shares any of BANDS keys of least hashes. Every candidate's
-    similarity is computed exactly from both whole texts, in two passes: first stars from
-    the least id of each key, then all pairs of a key that the stars have not connected
-    and whose numbers of shingles allow the similarity. A large group of near copies
-    is therefore mostly connected before pairs are made.
+
+def text_classes(docs: DataFrame, words: int = 5) -> DataFrame:
+    """One row for each distinct word sequence: id, digest, unnamed and doc_id (of its first row), n (shingles), keys (of bands) and sketch.
+
+    The first row has the least doc_id; rows without one come last. A text without words has no keys.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in in_chunks(batches):
-            texts = texts_of(batch)
-            same = np.array([xxhash.xxh64_intdigest(b" ".join(t.encode().lower().split()), SEED) for t in texts], np.uint64).astype(np.int64)
-            sets = [shingle_hashes(t, words) for t in texts]
-            keys = pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same), pa.array([len(x) for x in sets], pa.int64()), keys], names=["doc_id", "same", "n", "keys"])
+            n, keys, sketch = [], [], []
+            for text in texts_of(batch):
+                own = shingle_hashes(text, words)
+                least = least_hashes(own) if len(own) else np.zeros((0, ROWS), "<u4")
+                n.append(len(own))
+                keys.append(np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least)], np.uint64).astype(np.int64))
+                sketch.append((least & 255).astype(np.uint8).tobytes())
+            columns = [pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "digest", "n", "keys", "sketch"])
+
+    bounded_batches(docs.sparkSession)
+    hashed = _texts(docs).mapInArrow(run, "doc_id long, digest string, n long, keys array<long>, sketch binary")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")).alias("first")
+    grouped = hashed.groupBy("digest").agg(first, *[F.any_value(c).alias(c) for c in ("n", "keys", "sketch")])
+    return durable(grouped.select(F.monotonically_increasing_id().alias("id"), "digest", "first.unnamed", "first.doc_id", "n", "keys", "sketch"))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_digest(text).alias("digest"), text.alias("text"))
+
+
+def likely(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) whose sketches agree in three quarters of the similarity at least.
+
+    At a similarity of 0.8 agreement in 96 of 160 least hashes is some six deviations below the mean.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= 0.75 * similarity))
+
+    a, b = (classes.select(F.col("id").alias(i), F.col("sketch").alias(f"sketch_{i}")) for i in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+
+
+def alike(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose whole texts have the similarity."""
 
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches):
-            keep = []
-            for x, y in zip(texts_of(batch), texts_of(batch, "other")):
-                x, y = shingle_hashes(x, words), shingle_hashes(y, words)
+            keep, texts, others = [], texts_of(batch), texts_of(batch, "other")
+            known = {t: shingle_hashes(t, words) for t in {*texts, *others}}
+            for x, y in zip(map(known.__getitem__, texts), map(known.__getitem__, others)):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that are alike."""
-        pairs = durable(pairs.distinct())
-        wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        there = durable(texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]))
-        both = pairs.join(there.select(F.col("doc_id").alias("a"), "text"), "a").join(there.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
-        return durable(both.select("a", "b", "text", "other").mapInArrow(verified, "a long, b long"))
+    pairs = durable(likely(pairs, classes, similarity))
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    named = classes.join(wanted, "id", "left_semi").select("id", "digest", F.col("doc_id").alias("first_id"))
+    there = _texts(docs).join(named, "digest").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    there = durable(there.dropDuplicates(["id"]).select("id", "text"))
+    both = pairs.join(there.select(F.col("id").alias("a"), "text"), "a").join(there.select(F.col("id").alias("b"), F.col("text").alias("other")), "b")
+    return durable(both.select("a", "b", "text", "other").mapInArrow(run, "a long, b long"))
 
-    bounded_batches(docs.sparkSession)
-    texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null")
-    hashed = durable(texts.mapInArrow(run, "doc_id long, same long, n long, keys array<long>"))
-    classes = durable(hashed.groupBy("same").agg(F.min("doc_id").alias("id")))
-    rows = hashed.join(classes, (hashed["same"] == classes["same"]) & (F.col("doc_id") == F.col("id"))).dropDuplicates(["id"])
-    least = Window.partitionBy("key")
-    rows = rows.select("id", "n", F.explode("keys").alias("key")).withColumn("a", F.min("id").over(least)).withColumn("last", F.max("id").over(least))
-    rows = durable(rows.where("a <> last").select("id", "n", "key", "a"))  # a key that no other text shares tells nothing
-    stars = linked(rows.where("a <> id").select("a", F.col("id").alias("b")))
-    met = durable(rows.join(components(stars).withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")))
-    # One component fills most keys; only keys with several are paired.
-    several = met.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    met = durable(met.join(several, "key", "left_semi"))
-    left, right = (met.select("key", F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("root").alias(f"root_{i}")) for i in ("a", "b"))
-    apart = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")))
-    apart = apart.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b")
-    tried = rows.where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    return classes, stars.unionByName(linked(apart.join(tried, ["a", "b"], "left_anti")))
+
+def similar_edges(docs: DataFrame, classes: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Verified links (a, b) between classes that connect these as all links would.
+
+    Two bits of a SimHash are too few for texts of this similarity, so a pair is a
+    candidate if it shares any of BANDS keys of least hashes. Sketches set aside pairs that
+    cannot be alike; the rest are compared by their whole texts. First come stars from the
+    least id of each key, which connect most of a large group of near copies, then the
+    pairs that the stars have left apart. Where a key leaves more than APART members
+    outside its largest group, these are dealt by further keys (two bands at once) before
+    they are paired: a pair alike by the similarity shares about ten bands.
+    """
+    rows = classes.select("id", "n", F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("members")).where("members > 1")
+    met = durable(rows.join(shared.select("key", "first"), "key").select("key", "id", "n", F.col("first.id").alias("a"), F.col("first.n").alias("n_a")))
+    near = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
+    tried = durable(met.where("id <> a").where(near("n", "n_a")).select("a", F.col("id").alias("b")).distinct())
+    stars = alike(tried, classes, docs, words, similarity)
+    grouped = met.join(components(stars).withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+    # By key: the groups, the largest of them, and how many members lie outside it.
+    sizes = grouped.groupBy("key", "root").agg(F.count("*").alias("size"))
+    keys = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("most"), F.sum("size").alias("members")).where("members > most.size")
+    apart = durable(grouped.join(keys, "key").select("key", "id", "n", "root", (F.col("root") != F.col("most.root")).alias("outside"), (F.col("members") - F.col("most.size") > APART).alias("many")))
+    few, many = apart.where("not many"), apart.where("many")
+    again = many.join(classes.select("id", F.explode("keys").alias("other")), "id").where("key <> other")
+    again = again.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id", "n", "root", F.lit(True).alias("outside")).distinct()
+    parts = few.drop("many").unionByName(again)
+    outside = parts.where("outside").select("key", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"))
+    found = outside.join(parts, "key").where(F.col("root") != F.col("root_x")).where(near("n", "n_x"))
+    found = found.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    return stars.unionByName(alike(found, classes, docs, words, similarity))
 
 
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of `docs`, with all their columns, that stand for their group: the least doc_id of texts linked by similarity.
+    """The rows of `docs`, with all their columns, that stand for their group: texts linked by similarity.
 
-    Of rows that repeat a doc_id one stays, the one with the least text hash; rows without a doc_id all stay.
+    A group is represented by its least doc_id (a row without one only where the group has
+    no other), of equal ids by the least digest. Of rows that repeat a doc_id and its words
+    one stays, the one with the least hash of its columns. Rows that share a doc_id but not
+    their words are judged each by its own text.
     """
-    classes, edges = similar_edges(docs, words, similarity)
-    later = durable(components(edges).where("node <> root").select(F.col("node").alias("id")))
-    first = durable(classes.join(later, "id", "left_anti").select(F.col("id").alias("_first")).distinct())
-    named = docs.where("doc_id is not null")
-    kept = named.join(first, named["doc_id"].cast("long") == first["_first"], "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.col("text")))
-    kept = kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
-    return kept.unionByName(docs.where("doc_id is null"))
+    classes = text_classes(docs, words)
+    roots = durable(components(similar_edges(docs, classes, words, similarity)).withColumnRenamed("node", "id"))
+    first = F.min(F.struct("unnamed", "doc_id", "digest")).alias("first")
+    stay = classes.join(roots, "id").groupBy("root").agg(first).select("first.*")
+    stay = durable(stay.unionByName(classes.join(roots, "id", "left_anti").select("unnamed", "doc_id", "digest")))
+    keys = {"digest": F.col("digest"), "unnamed": F.col("doc_id").isNull(), "number": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))}
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), word_digest(text).alias("digest"), keys["unnamed"].alias("unnamed"), keys["number"].alias("number"))
+    kept = rows.join(stay.select("digest", "unnamed", keys["number"].alias("number")), ["digest", "unnamed", "number"], "left_semi")
+    order = F.xxhash64(*[F.col(f"row.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    return kept.groupBy("digest", "unnamed", "number").agg(F.min_by("row", order).alias("row")).select("row.*")

@@ -8,7 +8,7 @@ from collections import Counter
 
 import pytest
 
-from bytelode.llm import bpe, fingerprint, licenses, lm, packing, pii, pretoken, quality, simhash, topk, toxicity
+from bytelode.llm import bpe, fingerprint, licenses, lm, packing, pii, pretoken, quality, simhash, store, topk, toxicity
 
 from .conftest import documents, sentence
 
@@ -101,6 +101,28 @@ def test_sparse_sites_are_shrunk(spark):
     assert rate["big"] > 0.9 and 0.5 < rate["small"] < rate["big"]
 
 
+@pytest.mark.parametrize("most", [3, 10, 40])
+def test_samples_at_their_bounds(spark, most):
+    """Just above the bound, around where a threshold begins to serve, and far above."""
+    for n in (0, most, most + 1, int(1.2 * most) + 199, int(1.2 * most) + 200, int(1.2 * most) + 201, 20 * most + 1000):
+        got = store.bounded_sample(spark.range(n), "id", most).collect()
+        assert len(got) == min(n, most)
+
+
+def test_classifiers_learn_beyond_their_bounds(spark, docs, labels):
+    """More labels than the bound, and one doc_id on many rows, which counts once."""
+    rows = docs.select("doc_id", "text", "lang", "source").unionByName(spark.range(500).selectExpr("100L doc_id", "'good words ' || id text", "'en' lang", "'a' source"))
+    for most in (30, 50):
+        assert quality.classify(rows, labels, rows=most).count() == rows.count()
+        assert toxicity.classify(rows, labels, rows=most).count() == rows.count()
+
+
+def test_quality_with_clashing_columns(docs, labels):
+    own = docs.selectExpr("*", "1 _site_odds", "2 _site_host", "3 _SITE_PATH")
+    assert quality.keep_good(own, labels).columns == own.columns
+    assert quality.keep_good(own, labels).count() == quality.keep_good(docs, labels).count()
+
+
 # 4
 def test_fingerprints(spark, docs, none):
     order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0)))
@@ -203,6 +225,76 @@ def test_near_copies_at_the_threshold(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_first(frame).collect()) == [*range(0, 300, 2), 1000, 1003]
 
 
+def brute_groups(rows, words=5, similarity=0.8):
+    """Which rows hang together, by comparing all pairs of word sequences."""
+    sets = [set(simhash.shingle_hashes(t or "", words).tolist()) for _, t in rows]
+    parts = [tuple((t or "").encode().lower().split()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if parts[a] == parts[b] or (both and both >= similarity * (len(sets[a]) + len(sets[b]) - both)):
+                root[find(a)] = find(b)
+    groups = {}
+    for k in range(len(rows)):
+        groups.setdefault(find(k), []).append(k)
+    return list(groups.values())
+
+
+def test_near_copies_against_brute_force(spark, monkeypatch):
+    """Near copies at all distances, with and without the route for keys that many unlike texts share."""
+    import random
+
+    rng, rows = random.Random(7), []
+    for k in range(40):
+        base = sentence(k, 120).split()
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(rng.randrange(4)):
+            copy = base[:]
+            for _ in range(rng.randrange(6)):
+                copy[rng.randrange(120)] = f"new{rng.randrange(1000)}"
+            rows.append((len(rows), " ".join(copy)))
+    want = sorted(min(rows[k][0] for k in g) for g in brute_groups(rows))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for apart in (256, 1):
+        monkeypatch.setattr(simhash, "APART", apart)
+        assert sorted(r["doc_id"] for r in simhash.keep_first(frame).collect()) == want
+
+
+def test_recall_of_near_pairs(spark):
+    """Of pairs alike by 0.8 or more in the smaller tables, exact copies aside, nine in ten at least are in one group."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = list({" ".join((t or "").lower().split()): (i, t) for i, t in docs.collect()}.values())
+    sets = [set(simhash.shingle_hashes(t or "", 5).tolist()) for _, t in rows]
+    holders = {}
+    for k, own in enumerate(sets):
+        for h in own:
+            holders.setdefault(h, []).append(k)
+    shared = Counter()
+    for some in holders.values():
+        if len(some) < 60:  # pairs alike by 0.8 share rarer shingles too
+            shared.update((a, b) for i, a in enumerate(some) for b in some[i + 1 :])
+    pairs = [(a, b) for (a, b), _ in shared.items() if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    both = sum(rows[a][0] in kept and rows[b][0] in kept for a, b in pairs)
+    assert pairs and both <= 0.1 * len(pairs)
+
+
+def test_keep_first_of_odd_rows(spark):
+    base = sentence(5, 50)
+    rows = [(1, base, 0, 0, "x"), (1, sentence(90, 50), 0, 0, "x"), (None, base, 0, 0, "x"), (None, "alone here", 0, 0, "x"), (None, "alone  here", 0, 0, "x"), (3, base.upper(), 0, 0, "x"), (4, None, 0, 0, "x"), (5, " ", 0, 0, "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _nth int, `row` int, digest string")
+    got = simhash.keep_first(frame)
+    assert got.columns == frame.columns
+    assert sorted(((r["doc_id"], (r["text"] or "").split()[:1]) for r in got.collect()), key=repr) == sorted([(1, base.split()[:1]), (1, sentence(90, 50).split()[:1]), (None, ["alone"]), (4, [])], key=repr)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r["node"]: r["root"] for r in simhash.components(edges).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100}
