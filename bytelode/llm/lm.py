@@ -1,21 +1,27 @@
 """Operator 9: log probabilities of texts by a causal self-attention model in numpy.
 
 A text is its words (split at white space, A-Z lower-cased) and an end. Each word is
-also a few subword ids of a public byte-level vocabulary. Three parts make the model:
-
-* Counts of all words of all training documents. Word counts also give the subwords'
-  counts, as each distinct word is encoded once.
-* A causal self-attention network over subword ids, trained in numpy. It starts from
-  windows of at most `TRAIN_DOCUMENTS` training documents (those with the least hash of
-  doc_id), as all tasks need one start; then every task learns from all windows of all its
-  training documents, each subword once, and the mean of the tasks' changes, weighted by
-  their windows, is the network. It predicts the class of the next subword; classes and
-  the subword's share of its class come from the counts of all training documents. Classes are either of subwords that begin a word or
-  of ones that go on with it, so a word's probability includes that it ends there.
-* A mixture: P(word | context) = MIX * count / all + (1 - MIX) * P_attention(word | context).
-
-Texts of any length are scored in overlapping windows of `WINDOW` subwords; a window after
-the first scores the subwords that the one before has not, so each counts once.
+also a few subword ids of a public byte-level vocabulary. A word's probability has two
+factors:
+
+* its first subword, from the words before: a causal self-attention network in numpy over
+  subword ids. It sees each word by its first and last subword and gives a distribution
+  over classes of first subwords; a subword's share of its class comes from counts.
+* how the word goes on, from counts of all training documents: with c the word's count, and
+  C and V the count and number of words that begin with the same subword,
+  (c + (V + 1) * chain) / (C + V + 1), where chain is the chance that a chain of subwords,
+  each following the one before, makes just this word.
+
+So every word of any text has a probability, and those of all words add up to one.
+
+The network starts from windows of at most `TRAIN_DOCUMENTS` training documents (those with
+the least hash of doc_id), as all tasks need one start; then every task learns from all
+windows of all its training documents, each word once, and the mean of the tasks' changes,
+weighted by their windows, is the network. Classes come from what subwords follow in all
+training documents, shares and all other counts from all of them too.
+
+Texts of any length are scored in overlapping windows of `WINDOW` words; a window after
+the first scores the words that the one before has not, so each counts once.
 
 Counts of the `FREQUENT` most frequent words (a bound) go to all tasks; all other words
 meet their counts by a shuffle on the word, where no word is frequent.
@@ -27,6 +33,7 @@ Repeated rows count, and are scored, each. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -40,18 +47,22 @@ from pyspark.sql import functions as F
 from . import bpe
 from .store import bounded_batches, bounded_sample, durable, in_chunks, texts_of
 
-TRAIN_DOCUMENTS = 3_000
-WINDOWS_A_DOCUMENT = 16
-WINDOW, STRIDE, SIZE = 32, 24, 32
-SINGLES, GROUPS = 48, 32
-CLASSES = 2 * (SINGLES + GROUPS)
-FREQUENT = 1 << 16
-LONGEST_FREQUENT = 256
-MIX = 0.4
-#: At least so many batches of 64 windows are learnt from at the start; RATE is the rate of the pass over all documents.
-LEAST_STEPS = 2_500
-RATE = 1e-3
-BATCH = 128
+TRAIN_DOCUMENTS = 2_000
+WINDOWS_A_DOCUMENT = 8
+WINDOW, STRIDE, SIZE = 32, 28, 16
+SINGLES, GROUPS = 40, 24
+CLASSES = SINGLES + GROUPS
+#: Columns of what a subword follows: the most frequent subwords, and one for all others.
+BEFORE = 256
+FREQUENT = 1 << 18
+LONGEST_FREQUENT = 64
+#: At least so many batches are learnt from at the start; RATE is the rate of the pass over all documents.
+LEAST_STEPS, BATCH = 400, 256
+RATE = 2e-3
+#: Words whose codes a task remembers.
+REMEMBERED = 500_000
+#: How strongly a chain's counts are drawn to those of subwords alone.
+DRAWN = 4.0
 
 
 def remainder(doc_id: Column) -> Column:
@@ -62,115 +73,154 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-class Words(dict):
-    """Subword ids of words, each as it stands after a blank; a bounded cache."""
+class Vocabulary:
+    """Subword ids of words, each as it stands after a blank."""
 
     def __init__(self, path: str | None) -> None:
-        self.encoder = bpe.encoder(path)
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) > 300_000:
-            self.clear()
-        new = [w for w in words if w not in self]
-        ids = self.encoder.encode([" " + w.decode() for w in new])
-        self.update((w, np.frombuffer(i, "<u4").astype(np.int32)) for w, i in zip(new, ids))
+        from tokenizers import Tokenizer
+
+        self.coder = Tokenizer.from_file(path or bpe.default_path())
+        self.coder.encode_special_tokens = True
+        self.coder.no_truncation(), self.coder.no_padding()
+        self.size = self.coder.get_vocab_size()
+        self.end = self.size - 1  # the special token, which no word holds
+
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids in a row, and where each word's begin (one more than the words)."""
+        found = [e.ids for e in self.coder.encode_batch_fast([" " + w.decode() for w in words], add_special_tokens=False)]
+        bounds = np.zeros(len(found) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, found), np.int64, len(found)), out=bounds[1:])
+        return np.fromiter(chain.from_iterable(found), np.int64, int(bounds[-1])), bounds
+
+
+@functools.cache
+def vocabulary_of(path: str | None) -> Vocabulary:
+    """One vocabulary per worker process."""
+    return Vocabulary(path)
+
+
+class Codes(dict):
+    """The places of words in growing columns; `first` and `last` are their first and last subwords. A bounded cache."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary = vocabulary
+        self.columns: dict[str, np.ndarray] = {}
+
+    def describe(self, words: list[bytes]) -> dict[str, np.ndarray]:
+        ids, bounds = self.vocabulary.ids(words)
+        return {"first": ids[bounds[:-1]], "last": ids[bounds[1:] - 1]}
+
+    def learn(self, words: list[bytes], keep: int = 0) -> None:
+        """Describes words not met before; beyond REMEMBERED all but the first `keep` are forgotten."""
+        new = list(set(words).difference(self))
+        if not new:
+            return
+        if len(self) > REMEMBERED + keep:
+            for word in list(self)[keep:]:
+                del self[word]
+            self.columns = {k: v[:keep] for k, v in self.columns.items()}
+            new = list(set(words).difference(self))
+        at = len(self)
+        self.update(zip(new, range(at, at + len(new))))
+        told = self.describe(new)
+        self.columns = {k: np.concatenate([self.columns[k], v]) if k in self.columns else v for k, v in told.items()}
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 class Network:
-    """One causal self-attention layer over subword ids, with a softmax over classes."""
+    """One causal self-attention layer; a place is a word's first and last subword, the output classes of the next word's first."""
 
-    def __init__(self, classes: np.ndarray, begins: np.ndarray, seed: int = 3) -> None:
-        rng, d = np.random.default_rng(seed), SIZE
-        n = len(classes)
-        self.classes, self.begins = classes, begins
+    def __init__(self, classes: np.ndarray, seed: int = 3) -> None:
+        rng, d, n = np.random.default_rng(seed), SIZE, len(classes)
+        self.classes = classes
         normal = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s).astype(np.float32)
+        small = lambda *s: rng.normal(0, 0.2, s).astype(np.float32)
+        # The start of a text is the row after the vocabulary.
         self.p = {
-            "emb": rng.normal(0, 0.3, (n + 1, d)).astype(np.float32), "pos": rng.normal(0, 0.1, (WINDOW, d)).astype(np.float32),
-            "qkv": normal(d, 3 * d), "proj": normal(d, d), "out": normal(d, CLASSES), "bias": np.zeros(CLASSES, np.float32),
+            "first": small(n + 1, d), "last": small(n + 1, d), "pos": small(WINDOW, d),
+            "qkv": normal(d, 3 * d), "proj": normal(d, d), "out": normal(d, CLASSES), "bias": np.zeros((CLASSES // d, d), np.float32),
         }
-        self.mask = np.where(np.tri(WINDOW, dtype=bool), 0, -1e9).astype(np.float32)
+        self.mask = np.tri(WINDOW, dtype=np.float32)
 
-    def forward(self, ids: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        """Log probabilities of classes after each id of (windows, WINDOW)."""
+    def forward(self, x: np.ndarray) -> dict[str, np.ndarray]:
+        """Activations for (windows, WINDOW, SIZE) embeddings; `e` holds the classes' unnormalised chances, `total` their sums."""
         p, d = self.p, SIZE
-        x = p["emb"][ids] + p["pos"]
-        q, k, v = np.split(x.reshape(-1, d) @ p["qkv"], 3, axis=1)
-        q, k, v = (a.reshape(x.shape) for a in (q, k, v))
+        y = x.reshape(-1, d) @ p["qkv"]
+        q, k, v = (np.ascontiguousarray(y[:, i * d : (i + 1) * d]).reshape(x.shape) for i in range(3))
+        q *= np.float32(1 / np.sqrt(d))
         a = q @ k.transpose(0, 2, 1)
-        a *= np.float32(1 / np.sqrt(d))
-        a += self.mask
-        a -= a.max(axis=2, keepdims=True)
+        np.minimum(a, 30, out=a)
         np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        o = a @ v
-        h = np.tanh(x.reshape(-1, d) + o.reshape(-1, d) @ p["proj"])
-        z = h @ p["out"]
-        z += p["bias"]
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return z, {"x": x, "q": q, "k": k, "v": v, "a": a, "o": o, "h": h}
-
-    def backward(self, ids: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, Any]]:
+        a *= self.mask
+        a *= (1 / a.sum(axis=2, keepdims=True)).astype(np.float32)
+        o = (a @ v).reshape(-1, d)
+        h = x.reshape(-1, d) + o @ p["proj"]
+        np.maximum(h, 0.1 * h, out=h)
+        e = h @ p["out"]
+        e += p["bias"].reshape(-1)
+        np.minimum(e, 30, out=e)
+        np.exp(e, out=e)
+        return {"x": x, "q": q, "k": k, "v": v, "a": a, "o": o, "h": h, "e": e, "total": e.sum(axis=1)}
+
+    def embed(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        x = self.p["first"][first]
+        x += self.p["last"][last]
+        x += self.p["pos"]
+        return x
+
+    def log_classes(self, first: np.ndarray, last: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log chances of target classes after each place of (windows, WINDOW) words."""
+        c = self.forward(self.embed(first, last))
+        t = target.reshape(-1)
+        return np.log(c["e"][np.arange(len(t)), t] / c["total"]).reshape(target.shape)
+
+    def backward(self, first: np.ndarray, last: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, Any]]:
         """Mean loss on the target classes and gradients; weight 0 leaves a place out."""
         p, d = self.p, SIZE
-        z, c = self.forward(ids)
+        c = self.forward(self.embed(first, last))
         t, w = target.reshape(-1), weight.reshape(-1)
-        total = max(float(w.sum()), 1.0)
-        rows = np.arange(len(t))
-        loss = float(-(z[rows, t] * w).sum() / total)
-        dz = np.exp(z)
+        rows, total = np.arange(len(t)), max(float(w.sum()), 1.0)
+        dz = c["e"]
+        dz *= (1 / c["total"])[:, None].astype(dz.dtype)
+        loss = float(-(np.log(dz[rows, t]) * w).sum() / total)
         dz[rows, t] -= 1
-        dz *= (w / total)[:, None]
-        g = {"out": c["h"].T @ dz, "bias": dz.sum(axis=0)}
-        dpre = (dz @ p["out"].T) * (1 - c["h"] ** 2)
-        g["proj"] = c["o"].reshape(-1, d).T @ dpre
-        do = (dpre @ p["proj"].T).reshape(c["o"].shape)
+        dz *= (w / total)[:, None].astype(dz.dtype)
+        g: dict[str, Any] = {"out": c["h"].T @ dz, "bias": dz.sum(axis=0).reshape(p["bias"].shape)}
+        dpre = dz @ p["out"].T
+        dpre *= np.where(c["h"] > 0, np.float32(1), np.float32(0.1))
+        g["proj"] = c["o"].T @ dpre
+        do = (dpre @ p["proj"].T).reshape(c["x"].shape)
         da = do @ c["v"].transpose(0, 2, 1)
         dv = c["a"].transpose(0, 2, 1) @ do
-        ds = c["a"] * (da - (da * c["a"]).sum(axis=2, keepdims=True)) / np.float32(np.sqrt(d))
-        dq, dk = ds @ c["k"], ds.transpose(0, 2, 1) @ c["q"]
+        da -= (do * c["o"].reshape(do.shape)).sum(axis=2, keepdims=True)
+        da *= c["a"]
+        dq, dk = da @ c["k"], da.transpose(0, 2, 1) @ c["q"]
+        dq *= np.float32(1 / np.sqrt(d))
         dqkv = np.concatenate([y.reshape(-1, d) for y in (dq, dk, dv)], axis=1)
         g["qkv"] = c["x"].reshape(-1, d).T @ dqkv
         dx = dpre + dqkv @ p["qkv"].T
         g["pos"] = dx.reshape(c["x"].shape).sum(axis=0)
-        used, back = np.unique(ids.reshape(-1), return_inverse=True)
-        rows = np.zeros((len(used), d), np.float32)
-        np.add.at(rows, back, dx)
-        g["emb"] = (used, rows)
+        g["first"], g["last"] = _by_row(first.reshape(-1), dx), _by_row(last.reshape(-1), dx)
         return loss, g
 
-    def train(self, ids: np.ndarray, target: np.ndarray, weight: np.ndarray, rate: float = 5e-3, seed: int = 5) -> list[float]:
-        """Adam over shuffled windows; embeddings of subwords not in a batch rest."""
-        rng = np.random.default_rng(seed)
-        moments = self.moments()
-        losses, step = [], 0
-        epochs = max(1, -(-LEAST_STEPS // -(-len(ids) // 64)))
-        total = epochs * -(-len(ids) // 64)
-        for _ in range(epochs):
-            order = rng.permutation(len(ids))
-            for at in range(0, len(order), 64):
-                some = order[at : at + 64]
-                step += 1
-                lr = rate * min(1.0, step / 50) * max(0.05, 1 - step / total)
-                losses.append(self.step(moments, ids[some], target[some], weight[some], lr))
-        return losses
-
     def moments(self) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
         return tuple({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
 
-    def step(self, moments: tuple[dict[str, np.ndarray], dict[str, np.ndarray]], ids: np.ndarray, target: np.ndarray, weight: np.ndarray, lr: float) -> float:
-        """One step of Adam; the loss before it."""
+    def step(self, moments: tuple[dict[str, np.ndarray], dict[str, np.ndarray]], first: np.ndarray, last: np.ndarray, target: np.ndarray, weight: np.ndarray, rate: float) -> float:
+        """One step of Adam, in which embeddings of subwords not in the batch rest; the loss before it."""
         m, s = moments
-        loss, g = self.backward(ids, target, weight)
+        loss, g = self.backward(first, last, target, weight)
         for name, grad in g.items():
-            rows, grad = grad if name == "emb" else (slice(None), grad)
+            rows, grad = grad if isinstance(grad, tuple) else (slice(None), grad)
             m[name][rows] += 0.1 * (grad - m[name][rows])
             s[name][rows] += 0.01 * (grad * grad - s[name][rows])
-            self.p[name][rows] -= lr * m[name][rows] / (np.sqrt(s[name][rows]) + 1e-6)
+            self.p[name][rows] -= rate * m[name][rows] / (np.sqrt(s[name][rows]) + 1e-6)
         return loss
 
     def flat(self) -> np.ndarray:
-        """All parameters as rows of SIZE numbers, the embeddings' first."""
+        """All parameters as rows of SIZE numbers."""
         return np.concatenate([v.reshape(-1, SIZE) for v in self.p.values()])
 
     def add(self, rows: np.ndarray, change: np.ndarray) -> None:
@@ -182,85 +232,137 @@ class Network:
             at += v.size // SIZE
 
 
-def neighbours(counts: np.ndarray) -> np.ndarray:
-    """The column of each subword as a left neighbour: the 256 most frequent have their own."""
-    column = np.full(len(counts) + 1, 256)
-    column[np.argsort(-counts, kind="stable")[:256]] = np.arange(256)
-    return column
-
-
-def classify(ids: np.ndarray, columns: np.ndarray, met: np.ndarray, counts: np.ndarray, begins: np.ndarray, rounds: int = 8) -> np.ndarray:
-    """A class for each subword: the most frequent alone, others grouped by what they tend to follow (`met` times an id after a column)."""
-    classes = np.zeros(len(counts), np.int16)
-    for side in (True, False):
-        own = np.flatnonzero(begins == side)
-        own = own[np.argsort(-counts[own], kind="stable")]
-        first = 0 if side else CLASSES // 2
-        classes[own[:SINGLES]] = first + np.arange(len(own[:SINGLES]))
-        rest = own[SINGLES:]
-        seen = rest[np.isin(rest, ids)]
-        row = np.full(len(counts), -1)
-        row[seen] = np.arange(len(seen))
-        hit = row[ids] >= 0
-        table = np.zeros((len(seen), 257), np.float32)
-        np.add.at(table, (row[ids[hit]], columns[hit]), met[hit])
-        weight = table.sum(axis=1)
-        table = np.sqrt(table / np.maximum(weight, 1)[:, None])
-        centres = table[np.argsort(-weight, kind="stable")[:GROUPS]]
-        group = np.zeros(len(seen), int)
-        for _ in range(rounds if len(centres) else 0):
-            group = np.argmax(table @ centres.T, axis=1)
-            for k in range(len(centres)):
-                if (group == k).any():
-                    mean = np.average(table[group == k], axis=0, weights=weight[group == k])
-                    centres[k] = mean / max(np.linalg.norm(mean), 1e-6)
-        classes[rest] = first + SINGLES + np.arange(len(rest)) % GROUPS
-        classes[seen] = first + SINGLES + group
+def _by_row(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that occur, and the sums of their values."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    return ids[starts], np.add.reduceat(values[order], starts, axis=0)
+
+
+def windows_of(bounds: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of WINDOW tokens over documents that lie in a row: (begin, fresh, end).
+
+    A window covers begin .. begin + WINDOW - 1 as far as `end`, its document's; tokens from
+    `fresh` on are its own. A document's first window owns all it covers, each further one
+    `stride` tokens more.
+    """
+    sizes = bounds[1:] - bounds[:-1]
+    more = -(-np.maximum(sizes - WINDOW, 0) // stride)
+    owner = np.repeat(np.arange(len(sizes)), more + 1)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+    begin, end = bounds[:-1][owner] + nth * stride, bounds[1:][owner]
+    fresh = np.where(nth > 0, begin + WINDOW - stride, begin)
+    return begin, fresh, end
+
+
+def laid(first: np.ndarray, last: np.ndarray, begin: np.ndarray, fresh: np.ndarray, end: np.ndarray, starts: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(windows, WINDOW) arrays: the first and last subword of the token before, the tokens' places, and which are the window's own.
+
+    `starts` marks the first tokens of documents, which `none` comes before.
+    """
+    at = begin[:, None] + np.arange(WINDOW)
+    own = (at >= fresh[:, None]) & (at < end[:, None])
+    at = np.minimum(at, end[:, None] - 1)
+    before, begins = np.maximum(at - 1, 0), starts[at]
+    return np.where(begins, none, first[before]), np.where(begins, none, last[before]), at, own
+
+
+def classify(met: np.ndarray, counts: np.ndarray, rounds: int = 8) -> np.ndarray:
+    """A class for each subword: the most frequent first subwords alone, others grouped by what they tend to follow.
+
+    `met` counts, for each subword, how often it follows each of the BEFORE + 1 columns.
+    """
+    classes = np.zeros(len(counts), np.int64)
+    order = np.argsort(-counts, kind="stable")
+    classes[order[:SINGLES]] = np.arange(SINGLES)
+    rest = order[SINGLES:]
+    classes[rest] = SINGLES + np.arange(len(rest)) % GROUPS
+    seen = rest[counts[rest] > 0]
+    weight = counts[seen].astype(np.float32)
+    table = np.sqrt(met[seen] / np.maximum(met[seen].sum(axis=1, keepdims=True), 1)).astype(np.float32)
+    centres = table[:GROUPS].copy()
+    for _ in range(rounds if len(seen) else 0):
+        group = np.argmax(table @ centres.T, axis=1)
+        for k in range(len(centres)):
+            if (group == k).any():
+                mean = np.average(table[group == k], axis=0, weights=weight[group == k])
+                centres[k] = mean / max(np.linalg.norm(mean), 1e-6)
+        classes[seen] = SINGLES + group
     return classes
 
 
+class Chain:
+    """The chance that a subword goes on as a word does: by what follows its column, drawn to what goes on anywhere."""
+
+    def __init__(self, column: np.ndarray, keys: np.ndarray, n: np.ndarray) -> None:
+        size = len(column)
+        self.column, self.keys, self.n = column, keys, n  # keys: column * size + subword (the last subword: the word ends), ascending
+        self.totals = np.bincount(keys // size, n, BEFORE + 1)
+        alone = np.bincount(keys % size, n, size) + 0.1
+        self.alone = alone / alone.sum()
+
+    def log(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Log chance of all that follows the first subword of each word, its end included."""
+        size = len(self.column)
+        follows = np.full(len(ids), size - 1)
+        follows[:-1] = ids[1:]
+        follows[bounds[1:] - 1] = size - 1
+        columns = self.column[ids]
+        key = columns * size + follows
+        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+        n = np.where(self.keys[at] == key, self.n[at], 0) if len(self.keys) else np.zeros(len(key))
+        logs = np.log((n + DRAWN * self.alone[follows]) / (self.totals[columns] + DRAWN))
+        return np.add.reduceat(logs, bounds[:-1]) if len(bounds) > 1 else np.zeros(0)
+
+
 class Model:
-    """What scoring needs: the network, subwords' shares of their classes, and frequent words' counts."""
-
-    def __init__(self, network: Network, share: np.ndarray, known: dict[bytes, int], ends: int, tokens: int, kinds: int) -> None:
-        self.network, self.share, self.known, self.ends, self.tokens, self.kinds = network, share, known, ends, tokens, kinds
-        self.end_id = len(share) - 1
-
-    def word_probabilities(self, docs: list[np.ndarray], firsts: list[np.ndarray]) -> list[np.ndarray]:
-        """log P_attention of each word and of the end, for documents as subword ids (end included) and word starts."""
-        spans = []
-        for k, ids in enumerate(docs):
-            spans.append((k, 0, 0))
-            # Each further window scores what the one before has not.
-            spans += [(k, min(at - (WINDOW - STRIDE), max(0, len(ids) - WINDOW)), at) for at in range(WINDOW, len(ids), STRIDE)]
-        scores = [np.zeros(len(ids), np.float64) for ids in docs]
-        begin = [np.zeros(len(ids), np.float64) for ids in docs]
-        shifted = [np.concatenate([[self.end_id + 1], ids[:-1]]) for ids in docs]
-        net = self.network
-        for at in range(0, len(spans), BATCH):
-            some = spans[at : at + BATCH]
-            x = np.full((len(some), WINDOW), self.end_id + 1, np.int64)
-            for i, (k, a, _) in enumerate(some):
-                part = shifted[k][a : a + WINDOW]
-                x[i, : len(part)] = part
-            z, _ = net.forward(x)
-            z = z.reshape(len(some), WINDOW, CLASSES)
-            starts = np.log(np.exp(z[:, :, : CLASSES // 2]).sum(axis=2))
-            for i, (k, a, b) in enumerate(some):
-                e = min(a + WINDOW, len(docs[k]))
-                ids = docs[k][b:e]
-                scores[k][b:e] = z[i, np.arange(b - a, e - a), net.classes[ids]] + self.share[ids]
-                begin[k][b:e] = starts[i, b - a : e - a]
-        out = []
-        for s, g, f in zip(scores, begin, firsts):
-            sums = np.add.reduceat(s, f)
-            ahead = np.append(g[f[1:]], 0.0)  # that a word ends, as the next begins; nothing follows the end
-            out.append(sums - g[f] + ahead)
-        return out
-
-    def mixed(self, count: np.ndarray, log_attention: np.ndarray) -> np.ndarray:
-        """log10 of the mixture for words of these counts."""
-        return np.log10(MIX * count / max(self.tokens, 1) + (1 - MIX) * np.exp(log_attention) + 1e-300)
+    """What scoring needs: the network, shares, chains, counts by first subword, and frequent words with what is known of them."""
+
+    def __init__(self, network: Network, share: np.ndarray, chains: Chain, begun: np.ndarray, kinds_begun: np.ndarray, ends: int, tokens: int, kinds: int) -> None:
+        self.network, self.share, self.chains, self.begun, self.kinds_begun = network, share, chains, begun, kinds_begun
+        self.ends, self.tokens, self.kinds = ends, tokens, kinds
+        self.none = len(share)
+        self.words: list[bytes] = []
+        self.columns: dict[str, np.ndarray] = {}
+
+    def remember(self, known: dict[bytes, int], vocabulary: Vocabulary) -> None:
+        self.words = list(known)
+        self.columns = self.described(self.words, vocabulary) if known else {}
+        if known:
+            self.columns["c"] = np.fromiter(known.values(), np.int64, len(known))
+
+    def described(self, words: list[bytes], vocabulary: Vocabulary) -> dict[str, np.ndarray]:
+        """First and last subwords, c (-1: to be looked up), a = (V + 1) * chain, and b = log(C + V + 1) of words."""
+        ids, bounds = vocabulary.ids(words)
+        first, last = ids[bounds[:-1]], ids[bounds[1:] - 1]
+        more = self.kinds_begun[first] + 1.0
+        return {"first": first, "last": last, "c": np.full(len(words), -1), "a": more * np.exp(self.chains.log(ids, bounds)), "b": np.log(self.begun[first] + more)}
+
+    def first_logs(self, first: np.ndarray, last: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Log chance of each token's first subword after the tokens before it, for documents that lie in a row."""
+        out = np.zeros(len(first))
+        target = self.network.classes[first]
+        starts = np.zeros(len(first), bool)
+        starts[bounds[:-1]] = True
+        begin, fresh, end = windows_of(bounds, STRIDE)
+        for k in range(0, len(begin), BATCH):
+            x, y, at, own = laid(first, last, begin[k : k + BATCH], fresh[k : k + BATCH], end[k : k + BATCH], starts, self.none)
+            out[at[own]] = self.network.log_classes(x, y, target[at])[own]
+        return out + self.share[first]
+
+
+class Known(Codes):
+    """Codes of words with what scoring needs of each; the frequent ones come first."""
+
+    def __init__(self, vocabulary: Vocabulary, model: Model) -> None:
+        super().__init__(vocabulary)
+        self.model, self.frequent = model, len(model.words)
+        self.update(zip(model.words, range(self.frequent)))
+        self.columns = dict(model.columns)
+
+    def describe(self, words: list[bytes]) -> dict[str, np.ndarray]:
+        return self.model.described(words, self.vocabulary)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -270,7 +372,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         counts: Counter[bytes] = Counter()
 
         def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
 
         for batch in in_chunks(batches):
             counts.update(chain.from_iterable(map(words_of, texts_of(batch))))
@@ -282,30 +384,49 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def subword_counts(words: DataFrame, path: str | None) -> np.ndarray:
-    """How often the training words hold each subword; at most the vocabulary's size reaches the driver."""
+def subword_counts(words: DataFrame, path: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(times begun with, words begun with) by subword, and counts of (column, following subword) pairs within words.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = len(bpe.encoder(path).vocabulary.bytes)
-        total, known = np.zeros(size), Words(path)
+    All come from the distinct words. At most BEFORE + 3 numbers a subword reach the driver.
+    """
+    size = vocabulary_of(path).size
+
+    def added(batches: Iterator[pa.RecordBatch], of: Any) -> Iterator[pa.RecordBatch]:
+        vocabulary, total = vocabulary_of(path), Counter()
         for batch in batches:
-            words = [w.encode() for w in batch.column(0).to_pylist()]
-            known.learn(set(words))
-            ids = [known[w] for w in words]
-            weight = np.repeat(batch.column(1).to_numpy(), [len(i) for i in ids])
-            if len(weight):
-                total += np.bincount(np.concatenate(ids), weight, size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.float64())], names=["id", "n"])
+            if not batch.num_rows:
+                continue
+            ids, bounds = vocabulary.ids(batch.column(0).cast(pa.binary()).to_pylist())
+            for key, n in of(ids, bounds, batch.column(1).to_numpy()):
+                some, sums = _by_row(key, n)
+                total.update(dict(zip(some.tolist(), sums.tolist())))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["at", "n"])
+
+    def gathered(of: Any) -> tuple[np.ndarray, np.ndarray]:
+        got = words.mapInArrow(lambda batches: added(batches, of), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").toArrow()
+        return got["at"].to_numpy(), got["n"].to_numpy()
+
+    def alone(ids: np.ndarray, bounds: np.ndarray, c: np.ndarray) -> list:
+        first = ids[bounds[:-1]]
+        return [(first, c), (size + first, np.ones_like(c)), (2 * size + ids, np.repeat(c, bounds[1:] - bounds[:-1]))]
 
-    out = np.zeros(len(bpe.encoder(path).vocabulary.bytes))
-    for r in words.mapInArrow(run, "id long, n double").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        out[r["id"]] = r["n"]
-    return out
+    at, n = gathered(alone)
+    table = np.bincount(at, n, 3 * size).reshape(3, size)
+    column = np.full(size, BEFORE)
+    often = np.argsort(-table[2], kind="stable")[:BEFORE]
+    column[often] = np.arange(len(often))
 
+    def follows(ids: np.ndarray, bounds: np.ndarray, c: np.ndarray) -> list:
+        after = np.full(len(ids), size - 1)
+        after[:-1] = ids[1:]
+        after[bounds[1:] - 1] = size - 1
+        return [(column[ids] * size + after, np.repeat(c, bounds[1:] - bounds[:-1]))]
 
-def frequent_words(words: DataFrame) -> list:
-    """(word, c) of the most frequent words, at most FREQUENT, by a least count.
+    return table[0], table[1], column, *gathered(follows)
+
+
+def frequent_words(words: DataFrame) -> dict[bytes, int]:
+    """Counts of the most frequent words, at most FREQUENT, by a least count.
 
     A histogram of counts in steps of an eighth of an octave finds that count, so no
     partition sends more than what is kept.
@@ -317,126 +438,142 @@ def frequent_words(words: DataFrame) -> list:
         if total > FREQUENT:
             break
         least = r["step"]
-    return short.where(F.col("step") >= least).select("word", "c").collect()
-
+    got = short.where(F.col("step") >= least).select("word", "c").toArrow()
+    return dict(zip(got["word"].cast(pa.binary()).to_pylist(), got["c"].to_pylist()))
 
-def _encoded(words: list[bytes], known: Words, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Subword ids of words and the end, and where each word starts."""
-    ids = [known[w] for w in words]
-    firsts = np.zeros(len(ids) + 1, np.int64)
-    np.cumsum([len(i) for i in ids], out=firsts[1:])
-    return np.concatenate([*ids, [end_id]]).astype(np.int64), firsts
 
-
-def cover(ids: np.ndarray) -> np.ndarray:
-    """Windows of WINDOW + 1 ids (-1: none) in which each id but the first is a target once."""
-    places = range(0, max(1, len(ids) - 1), WINDOW)
-    out = np.full((len(places), WINDOW + 1), -1, np.int64)
-    for i, a in enumerate(places):
-        part = ids[a : a + WINDOW + 1]
-        out[i, : len(part)] = part
-    return out
-
-
-def examples(windows: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, targets, and which of them are there."""
-    x, y = windows[:, :-1].copy(), windows[:, 1:].copy()
-    there = y >= 0
-    x[x < 0], y[~there] = end_id + 1, end_id
-    return x, y, there
-
-
-def follow_counts(training: DataFrame, column: np.ndarray, end_id: int, path: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, column of the id before it, times) over all training documents; at most 257 times the vocabulary's size reaches the driver."""
+def coded(training: DataFrame, path: str | None) -> DataFrame:
+    """doc_id and `codes` of every training document: its words' first, then their last subwords, little-endian unsigned 16-bit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = Words(path), np.zeros(257 * (end_id + 1), np.int64)
+        codes = Codes(vocabulary_of(path))
         for batch in in_chunks(batches):
             texts = [words_of(t) for t in texts_of(batch)]
-            known.learn(set(chain.from_iterable(texts)))
+            every = list(chain.from_iterable(texts))
+            codes.learn(every)
+            at, out, begin = codes.places(every), [], 0
+            pairs = [codes.columns[k][at].astype("<u2") if len(at) else np.zeros(0, "<u2") for k in ("first", "last")]
             for own in texts:
-                ids, _ = _encoded(own, known, end_id)
-                np.add.at(total, 257 * ids + column[np.concatenate([[end_id + 1], ids[:-1]])], 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["at", "n"])
+                out.append(b"".join(x[begin : begin + len(own)].tobytes() for x in pairs))
+                begin += len(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "codes"])
+
+    return training.select("doc_id", "text").mapInArrow(run, "doc_id long, codes binary")
 
-    got = training.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").toArrow()
-    at, n = got["at"].to_numpy(), got["n"].to_numpy()
-    return at // 257, at % 257, n
 
+def decoded(codes: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, bounds) of documents in a row, each with its end."""
+    bounds = np.zeros(len(codes) + 1, np.int64)
+    np.cumsum([len(c) // 4 + 1 for c in codes], out=bounds[1:])
+    sides = []
+    for side in (0, 1):
+        out = np.full(bounds[-1], end, np.int64)
+        there = np.ones(len(out), bool)
+        there[bounds[1:] - 1] = False
+        out[there] = np.frombuffer(b"".join(c[side * len(c) // 2 : (side + 1) * len(c) // 2] for c in codes), "<u2")
+        sides.append(out)
+    return *sides, bounds
 
-def learn_all(network: Network, training: DataFrame, end_id: int, path: str | None) -> None:
+
+def follow_counts(codes: DataFrame, column: np.ndarray, end: int) -> np.ndarray:
+    """How often each subword begins a word after one that ends in each column (the start of a text: the last column)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[int] = Counter()
+        for batch in in_chunks(batches, "codes"):
+            first, last, bounds = decoded(batch.column(0).to_pylist(), end)
+            before = np.full(len(first), BEFORE)
+            before[1:] = column[last[:-1]]
+            before[bounds[:-1]] = BEFORE
+            some, n = np.unique(first * (BEFORE + 1) + before, return_counts=True)
+            total.update(dict(zip(some.tolist(), n.tolist())))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["at", "n"])
+
+    got = codes.select("codes").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((end + 1) * (BEFORE + 1), np.float32)
+    out[got["at"].to_numpy()] = got["n"].to_numpy()
+    return out.reshape(end + 1, BEFORE + 1)
+
+
+def examples(network: Network, codes: list[bytes], end: int, pick: np.random.Generator | None = None, most: int = 0) -> tuple[np.ndarray, ...]:
+    """Inputs, target classes and weights of all windows of documents, each token once; with `pick` at most `most` windows a document."""
+    first, last, bounds = decoded(codes, end)
+    starts = np.zeros(len(first), bool)
+    starts[bounds[:-1]] = True
+    begin, fresh, stop = windows_of(bounds, WINDOW)
+    if pick is not None:
+        order = np.lexsort((pick.random(len(begin)), stop))
+        nth = np.arange(len(order)) - np.searchsorted(stop[order], stop[order])
+        some = order[nth < most]
+        begin, fresh, stop = begin[some], fresh[some], stop[some]
+    x, y, at, own = laid(first, last, begin, fresh, stop, starts, end + 1)
+    return x, y, network.classes[first[at]], own.astype(np.float32)
+
+
+def begin_learning(network: Network, sample: list[bytes], end: int) -> None:
+    """Adam over some windows of a bounded number of documents, in an order of its own."""
+    rng = np.random.default_rng(5)
+    parts = examples(network, sample, end, rng, WINDOWS_A_DOCUMENT)
+    moments, step, n = network.moments(), 0, len(parts[0])
+    while n and step < LEAST_STEPS:
+        order = rng.permutation(n)
+        for k in range(0, n, BATCH):
+            step += 1
+            some = order[k : k + BATCH]
+            network.step(moments, *[p[some] for p in parts], 1e-2 * min(1.0, step / 40) * max(0.1, 1 - step / LEAST_STEPS))
+            if step >= LEAST_STEPS:
+                break
+
+
+def learn_all(network: Network, codes: DataFrame, end: int) -> None:
     """A pass over every window of every training document; a row of parameters changes by the mean of the tasks that used it."""
-    sent = training.sparkSession.sparkContext.broadcast(network)  # bounded by the vocabulary
+    sent = codes.sparkSession.sparkContext.broadcast(network)  # bounded by the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, net, rng = Words(path), Network(sent.value.classes, sent.value.begins), np.random.default_rng(7)
+        net, rng = Network(sent.value.classes), np.random.default_rng(7)
         net.p = {k: v.copy() for k, v in sent.value.p.items()}
         moments, steps, seen = net.moments(), 0, 0
-        for batch in in_chunks(batches):
-            texts = [words_of(t) for t in texts_of(batch)]
-            known.learn(set(chain.from_iterable(texts)))
-            windows = np.concatenate([cover(np.concatenate([[end_id + 1], _encoded(own, known, end_id)[0]])) for own in texts])
-            rng.shuffle(windows)
-            for k in range(0, len(windows), 64):
-                x, y, there = examples(windows[k : k + 64], end_id)
+        for batch in in_chunks(batches, "codes"):
+            parts = examples(net, batch.column(0).to_pylist(), end)
+            order = rng.permutation(len(parts[0]))
+            for k in range(0, len(order), BATCH):
+                some = order[k : k + BATCH]
                 steps += 1
-                net.step(moments, x, net.classes[y].astype(np.int64), there.astype(np.float32), RATE * min(1.0, steps / 50))
-            seen += len(windows)
+                net.step(moments, *[p[some] for p in parts], RATE * min(1.0, steps / 50))
+            seen += len(order)
         change = net.flat() - sent.value.flat()
         rows = np.flatnonzero(change.any(axis=1))
         for k in range(0, len(rows), 4096):
             some = rows[k : k + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(np.full(len(some), float(seen))), pa.array(list(change[some].astype(np.float64)), pa.list_(pa.float64()))], names=["row", "n", "change"])
+            values = pa.FixedSizeListArray.from_arrays(pa.array(change[some].reshape(-1).astype(np.float64)), SIZE).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(np.full(len(some), float(seen))), values], names=["row", "n", "change"])
 
-    told = training.select("text").mapInArrow(run, "row long, n double, change array<double>")
+    told = codes.select("codes").mapInArrow(run, "row long, n double, change array<double>")
     mean = F.array(*[F.sum(F.col("n") * F.col("change")[i]) / F.sum("n") for i in range(SIZE)])
     got = told.groupBy("row").agg(mean.alias("change")).toArrow()
     if got.num_rows:
-        network.add(got["row"].to_numpy(), np.array(got["change"].to_pylist(), np.float32))
+        network.add(got["row"].to_numpy(), got["change"].combine_chunks().flatten().to_numpy().reshape(-1, SIZE).astype(np.float32))
 
 
 def fit(training: DataFrame, words: DataFrame, ends: int, path: str | None = None) -> Model:
     """Counts of all training words; a network that starts from a bounded number of documents and then learns from all."""
-    spark = training.sparkSession
-    vocabulary = bpe.encoder(path).vocabulary
-    size, end_id = len(vocabulary.bytes), len(vocabulary.bytes) - 1
+    vocabulary = vocabulary_of(path)
+    end = vocabulary.end
     tokens, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = frequent_words(words)
-    counts = subword_counts(words, path)
-    counts[end_id] += ends
-    begins = np.array([b[:1] == b" " for b in vocabulary.bytes])
-    begins[end_id] = True
-
-    sample = bounded_sample(training.select("doc_id").distinct(), "doc_id", TRAIN_DOCUMENTS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words(path)
-        for batch in in_chunks(batches):
-            out = []
-            for text in texts_of(batch):
-                own = words_of(text)
-                known.learn(set(own))
-                ids, _ = _encoded(own, known, end_id)
-                ids = np.concatenate([[end_id + 1], ids])
-                places = np.unique(np.linspace(0, max(0, len(ids) - WINDOW - 1), WINDOWS_A_DOCUMENT).astype(int))
-                out.append(b"".join(np.pad(ids[a : a + WINDOW + 1], (0, max(0, WINDOW + 1 - len(ids[a:]))), constant_values=-1).astype("<i4").tobytes() for a in places))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "windows"])
-
-    got = training.join(F.broadcast(sample), "doc_id").select("doc_id", "text").mapInArrow(run, "doc_id long, windows binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], bytes(r["windows"])))
-    windows = np.frombuffer(b"".join(bytes(r["windows"]) for r in got[:TRAIN_DOCUMENTS]), "<i4").reshape(-1, WINDOW + 1).astype(np.int64)
-    x, y, there = examples(windows, end_id)
-    classes = classify(*follow_counts(training, neighbours(counts), end_id, path), counts, begins)
-    network = Network(classes, begins)
-    if len(x):
-        network.train(x, classes[y].astype(np.int64), there.astype(np.float32))
-    learn_all(network, training, end_id, path)
-    smooth = counts + 0.1
-    share = np.log(smooth / np.bincount(classes, smooth, CLASSES)[classes])
-    known = {r["word"].encode(): r["c"] for r in top}
-    bounded_batches(spark)
-    return Model(network, share, known, ends, int(tokens) + ends, int(kinds) + (ends > 0))
+    known = frequent_words(words)
+    begun, kinds_begun, column, keys, n = subword_counts(words, path)
+    begun[end] += ends
+    codes = durable(coded(training, path))
+    network = Network(classify(follow_counts(codes, column, end), begun))
+    sample = codes.join(F.broadcast(bounded_sample(codes.select("doc_id").distinct(), "doc_id", TRAIN_DOCUMENTS)), "doc_id")
+    some = sample.groupBy("doc_id").agg(F.min("codes").alias("codes")).collect()  # one text of a doc_id, however often it repeats
+    begin_learning(network, [bytes(r["codes"]) for r in sorted(some, key=lambda r: r["doc_id"])], end)
+    learn_all(network, codes, end)
+    smooth = begun + 0.1
+    share = np.log(smooth / np.bincount(network.classes, smooth, CLASSES)[network.classes])
+    model = Model(network, share, Chain(column, keys, n), begun, kinds_begun, ends, int(tokens) + ends, int(kinds) + (ends > 0))
+    model.remember(known, vocabulary)
+    return model
 
 
 def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -447,44 +584,67 @@ def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     training = rows.where(remainder(F.col("doc_id")) != 1)
     words = durable(word_counts(training))
     model = fit(training, words, training.count(), path)
-    sent = spark.sparkContext.broadcast(model)  # bounded by FREQUENT, LONGEST_FREQUENT and the vocabulary
+    sent = spark.sparkContext.broadcast(model)  # bounded by FREQUENT, LONGEST_FREQUENT and BEFORE times the vocabulary
     smooth = model.tokens + 0.5 * (model.kinds + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
-        known = Words(path)
-        get = m.known.get
-        for batch in in_chunks(batches, chars=250_000):
-            owner, word, attention, n_tokens, n_known, base, score = [], [], [], [], [], [], []
+        known, end = Known(vocabulary_of(path), m), vocabulary_of(path).end
+        for batch in in_chunks(batches):
             texts = [words_of(t) for t in texts_of(batch)]
-            known.learn(set(chain.from_iterable(texts)))
-            coded = [_encoded(w, known, m.end_id) for w in texts]
-            found = m.word_probabilities([i for i, _ in coded], [f for _, f in coded])
-            for k, (own, logs) in enumerate(zip(texts, found)):
-                c = np.array([get(w, -1) for w in own] + [m.ends], np.float64)
-                here = np.flatnonzero(c >= 0)
-                owner.append(k), word.append(None), attention.append(0.0), n_tokens.append(len(c)), n_known.append(int((c > 0).sum()))
-                base.append(float(np.log10((c[here] + 0.5) / smooth).sum())), score.append(float(m.mixed(c[here], logs[here]).sum()))
-                for i in np.flatnonzero(c < 0).tolist():
-                    owner.append(k), word.append(own[i].decode()), attention.append(float(logs[i]))
-                    n_tokens.append(0), n_known.append(0), base.append(0.0), score.append(0.0)
-            at = pa.array(owner, pa.int64())
+            every = list(chain.from_iterable(texts))
+            known.learn(every, known.frequent)
+            bounds = np.zeros(len(texts) + 1, np.int64)
+            np.cumsum([len(own) + 1 for own in texts], out=bounds[1:])
+            there = np.ones(bounds[-1], bool)
+            there[bounds[1:] - 1] = False
+            place = known.places(every)
+
+            def column(name: str, at_end: float, kind: type) -> np.ndarray:
+                out = np.full(bounds[-1], at_end, kind)
+                if len(place):
+                    out[there] = known.columns[name][place]
+                return out
+
+            first = column("first", end, np.int64)
+            logs = m.first_logs(first, column("last", end, np.int64), bounds) - column("b", 0.0, np.float64)
+            c, a = column("c", m.ends, np.int64), column("a", 0.0, np.float64)
+            here = c >= 0
+            own = np.where(here & there, np.log(np.where(here, c, 0) + a + 1e-300), 0.0) + logs
+            base = np.where(here, np.log((np.where(here, c, 0) + 0.5) / smooth), 0.0)
+            each = [np.add.reduceat(x, bounds[:-1]) for x in (own, base, (c > 0).astype(np.int64))] if len(texts) else [np.zeros(0)] * 3
+            # Words to be looked up, once for each document.
+            doc = np.repeat(np.arange(len(texts)), bounds[1:] - bounds[:-1])
+            at = np.full(bounds[-1], -1)
+            at[there] = place
+            pairs, times = np.unique((doc * (len(known) + 1) + at)[~here], return_counts=True)
+            owner, which = pairs // (len(known) + 1), pairs % (len(known) + 1)
+            needed, back = np.unique(which, return_inverse=True)
+            names = dict(zip(place.tolist(), every)) if len(needed) else {}
+            dictionary = pa.array([names[i] for i in needed.tolist()], pa.binary()).cast(pa.string())
+            n, k = len(texts), len(pairs)
+            row = batch.column(1).take(pa.array(np.concatenate([np.arange(n), owner]).astype(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(word, pa.string()), pa.array(attention, pa.float64()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())],
-                names=["doc_id", "row", "word", "attention", "n_tokens", "n_known", "base", "score"],
-            )
-
-    scored = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(run, "doc_id long, row long, word string, attention double, n_tokens long, n_known long, base double, score double")
+                [
+                    batch.column(0).take(pa.array(np.concatenate([np.arange(n), owner]).astype(np.int64))), row,
+                    pa.chunked_array([pa.nulls(n, pa.string()), dictionary.take(pa.array(back.astype(np.int64)))], pa.string()).combine_chunks(),
+                    pa.array(np.concatenate([np.zeros(n, np.int64), times])), pa.array(np.concatenate([np.zeros(n), known.columns["a"][which] if k else np.zeros(0)])),
+                    pa.array(np.concatenate([bounds[1:] - bounds[:-1], np.zeros(k, np.int64)])), pa.array(np.concatenate([each[2], np.zeros(k)]).astype(np.int64)),
+                    pa.array(np.concatenate([each[1], np.zeros(k)]) / np.log(10)), pa.array(np.concatenate([each[0], np.zeros(k)]) / np.log(10)),
+                ],
+                names=["doc_id", "row", "word", "times", "a", "n_tokens", "n_known", "base", "score"],
+            )
+
+    schema = "doc_id long, row long, word string, times long, a double, n_tokens long, n_known long, base double, score double"
+    scored = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(run, schema)
     # A row without a word is a document's sum over frequent words; a blank keeps it from meeting any word.
     keyed = scored.withColumn("key", F.coalesce("word", F.concat(F.lit(" "), F.col("row").cast("string"))))
     met = keyed.join(words.select(F.col("word").alias("key"), "c"), "key", "left")
-    c = F.coalesce("c", F.lit(0)).cast("double")
-    own = F.col("word").isNotNull()
-    mixed = F.log10(F.lit(MIX) * c / max(model.tokens, 1) + F.lit(1 - MIX) * F.exp("attention") + F.lit(1e-300))
+    c, own, times = F.coalesce("c", F.lit(0)).cast("double"), F.col("word").isNotNull(), F.col("times")
     parts = met.select(
-        "row", "doc_id", "n_tokens", (F.col("n_known") + (own & (c > 0)).cast("long")).alias("n_known"),
-        (F.col("base") + F.when(own, F.log10((c + 0.5) / smooth)).otherwise(0.0)).alias("base"),
-        (F.col("score") + F.when(own, mixed).otherwise(0.0)).alias("score"),
+        "row", "doc_id", "n_tokens", (F.col("n_known") + F.when(own & (c > 0), times).otherwise(0)).alias("n_known"),
+        (F.col("base") + F.when(own, times * F.log10((c + 0.5) / smooth)).otherwise(0.0)).alias("base"),
+        (F.col("score") + F.when(own, times * F.log10(c + F.col("a") + F.lit(1e-300))).otherwise(0.0)).alias("score"),
     )
     sums = parts.groupBy("row", "doc_id").agg(*[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")])
     return sums.select(

@@ -409,6 +409,63 @@ def test_lm(docs, none, monkeypatch):
     assert lm.score_documents(none).collect() == []
 
 
+def test_lm_against_plain_scoring(spark, monkeypatch):
+    """Scores of short and long texts, word by word, without batches, masks, or joins."""
+    import numpy as np
+
+    monkeypatch.setattr(lm, "LEAST_STEPS", 10)
+    monkeypatch.setattr(lm, "FREQUENT", 40)  # so that most words are looked up
+    rows = [(i, sentence(i, n) + (" Ünïcode x\u3000y" if i % 3 else "")) for i, n in enumerate([0, 1, 5, 31, 32, 33, 61, 200, 3, 12, 90, 40])]
+    kept = {}
+    fit = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda *args: kept.setdefault("model", fit(*args)))
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    m, counts = kept["model"], Counter()
+    vocabulary, p = lm.Vocabulary(None), {k: v.astype(float) for k, v in kept["model"].network.p.items()}
+    coder = vocabulary.coder
+    spelled = lambda w: coder.encode(" " + w.decode(), add_special_tokens=False).ids
+    for i, text in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            counts.update(lm.words_of(text))
+            counts[b"end"] += 1
+    begun, kinds = Counter(), Counter()
+    for w, c in counts.items():
+        if w != b"end":
+            begun[spelled(w)[0]] += c
+            kinds[spelled(w)[0]] += 1
+    assert np.allclose(np.bincount(m.network.classes, np.exp(m.share), lm.CLASSES)[np.bincount(m.network.classes, minlength=lm.CLASSES) > 0], 1)
+    for i, text in rows:
+        words = lm.words_of(text)
+        ids = [spelled(w) for w in words] + [[vocabulary.end]]
+        before, total = [(m.none, m.none)] + [(x[0], x[-1]) for x in ids[:-1]], 0.0
+        for t, own in enumerate(ids):
+            nth = 0 if t < lm.WINDOW else (t - lm.WINDOW) // lm.STRIDE + 1
+            part = before[nth * lm.STRIDE : t + 1]
+            x = np.array([p["first"][f] + p["last"][l] + p["pos"][k] for k, (f, l) in enumerate(part)])
+            q, k, v = np.split(x @ p["qkv"], 3, axis=1)
+            a = np.exp(q[-1] @ k.T / math.sqrt(lm.SIZE))
+            h = x[-1] + (a / a.sum()) @ v @ p["proj"]
+            z = np.where(h > 0, h, 0.1 * h) @ p["out"] + p["bias"].reshape(-1)
+            z -= np.log(np.exp(z).sum())
+            total += z[m.network.classes[own[0]]] + m.share[own[0]]
+            if t < len(words):
+                spelling = m.chains.log(np.array(own), np.array([0, len(own)]))[0]
+                more = kinds[own[0]] + 1
+                total += math.log((counts[words[t]] + more * math.exp(spelling)) / (begun[own[0]] + more))
+        assert got[i] == pytest.approx(total / math.log(10), rel=1e-4, abs=1e-4)
+
+
+def test_context_tells(spark):
+    """Held-out texts in two tongues have a higher score than words alone give them."""
+    import random
+
+    rng = random.Random(3)
+    tongues = [[a + b for a in x for b in ("ra", "to", "li", "mes", "dun")] for x in (("ba", "ke", "po"), ("shu", "gri", "tho"))]
+    rows = [(i, " ".join(rng.choices(tongues[i % 2], k=rng.randrange(20, 120)))) for i in range(300)]
+    got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
+    assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got) + 0.2 * sum(r["n_tokens"] for r in got)
+
+
 def test_network_learns_from_all_texts(spark, monkeypatch):
     """Subwords of documents outside the start's sample, and deep in a long one, have moved."""
     import numpy as np
@@ -419,33 +476,41 @@ def test_network_learns_from_all_texts(spark, monkeypatch):
     rows += [(10 + i, sentence(i, 3)) for i in range(300)]
     training = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     model = lm.fit(training, lm.word_counts(training), len(rows))
-    known = lm.Words(None)
-    own = {w for _, t in rows for w in lm.words_of(t)}
-    known.learn(own)
-    ids = np.unique(np.concatenate([known[w] for w in own]))
-    start = lm.Network(model.network.classes, model.network.begins).p["emb"]
-    assert (model.network.p["emb"][ids] != start[ids]).any(axis=1).all()
-    for n in (2, 32, 33, 34, 65, 100):
-        covered = lm.cover(np.arange(n))[:, 1:]
-        assert sorted(covered[covered >= 0].tolist()) == list(range(1, n))
+    own = sorted({w for _, t in rows for w in lm.words_of(t)} - {b"zebra", b"quartz", b"violin", b"marble"})
+    ids, bounds = lm.Vocabulary(None).ids(own)
+    first = np.unique(ids[bounds[:-1]])
+    start = lm.Network(model.network.classes).p["first"]
+    assert (model.network.p["first"][first] != start[first]).any(axis=1).all()
+    for stride in (lm.WINDOW, lm.STRIDE):
+        sizes = np.array([1, 2, 31, 32, 33, 34, 60, 61, 65, 100])
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        begin, fresh, end = lm.windows_of(bounds, stride)
+        owned = np.concatenate([np.arange(f, min(b + lm.WINDOW, e)) for b, f, e in zip(begin, fresh, end)])
+        assert sorted(owned.tolist()) == list(range(bounds[-1])) and (fresh >= begin).all()
 
 
 def test_network_gradient():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    net = lm.Network(np.arange(20, dtype=np.int16) % lm.CLASSES, np.ones(20, bool))
+    net = lm.Network(np.arange(20) % lm.CLASSES)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    ids, target, weight = rng.integers(0, 21, (2, lm.WINDOW)), rng.integers(0, 20, (2, lm.WINDOW)), np.ones((2, lm.WINDOW))
-    _, g = net.backward(ids, target, weight)
-    for name in ("qkv", "proj", "out", "bias", "pos"):
-        at = tuple(0 for _ in net.p[name].shape)
+    net.mask = net.mask.astype(np.float64)
+    first, last, target, weight = rng.integers(0, 21, (2, lm.WINDOW)), rng.integers(0, 21, (2, lm.WINDOW)), rng.integers(0, 20, (2, lm.WINDOW)), np.ones((2, lm.WINDOW))
+    _, g = net.backward(first, last, target, weight)
+    for name in net.p:
+        if isinstance(g[name], tuple):
+            rows, grad = g[name]
+            at, grad = (rows[0], 0), grad[0, 0]
+        else:
+            at = tuple(0 for _ in net.p[name].shape)
+            grad = g[name][at]
         net.p[name][at] += 1e-5
-        up = net.backward(ids, target, weight)[0]
+        up = net.backward(first, last, target, weight)[0]
         net.p[name][at] -= 2e-5
-        down = net.backward(ids, target, weight)[0]
+        down = net.backward(first, last, target, weight)[0]
         net.p[name][at] += 1e-5
-        assert (up - down) / 2e-5 == pytest.approx(g[name][at], abs=1e-4)
+        assert (up - down) / 2e-5 == pytest.approx(grad, abs=1e-4)
 
 
 # 10
