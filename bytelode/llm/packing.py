@@ -148,14 +148,16 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Every piece of every document with its sequence_id and offset there."""
     spark = docs.sparkSession
-    cut = durable(pieces(docs, path, capacity, end_id, with_ids).withColumn("salt", F.expr(f"cast(pmod(xxhash64(doc_id, piece), {SALTS}) as int)")))
+    # The salt comes from the row, so that neither missing nor repeated ids share one.
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+    cut = durable(pieces(docs, path, capacity, end_id, with_ids).withColumn("salt", salt))
     # At most capacity * SALTS rows, whatever the input.
     groups = durable(cut.groupBy("length", "salt").count())
     counts = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     runs = spark.createDataFrame(best_fit(counts, capacity), "length long, first long, count long, sequence long, each long, offset long")
     before = groups.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).drop("count")
     ranked = cut.withColumn("local", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
-    ranked = ranked.join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.expr("before + local - 1"))
+    ranked = ranked.join(before, ["length", "salt"]).withColumn("rank", F.expr("before + local - 1"))
     few = runs.count() <= MOST_RUNS
     table = runs.select(F.col("length").alias("run_length"), "first", F.col("count"), "sequence", "each", F.col("offset").alias("run_offset"))
     placed = ranked.join(F.broadcast(table) if few else table, F.expr("length = run_length and rank >= first and rank < first + count"))
