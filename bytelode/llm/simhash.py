@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, durable, forget, in_chunks, lower_ascii, texts_of
+from .store import bounded_batches, durable, forget, in_chunks, texts_of
 
 BITS = 64
 RADIUS = 2
@@ -32,6 +32,8 @@ SEED = 42
 BANDS, ROWS = 32, 5
 #: Beyond so many members outside a key's largest group these are dealt by two bands at once.
 APART = 256
+#: Up to so many wanted texts (some 60 bytes each) their names are sent to all tasks.
+SENT = 200_000
 
 
 def fingerprint(text: str, words: int = 3, seed: int = SEED) -> int:
@@ -146,13 +148,8 @@ def least_hashes(hashes: np.ndarray) -> np.ndarray:
     return np.array([((short ^ f) * t).min() for f, t in zip(flip, times | np.uint32(1))], "<u4").reshape(BANDS, ROWS)
 
 
-def word_digest(text: Column) -> Column:
-    """128 bits of a text's word sequence, A-Z lower-cased."""
-    return F.md5(F.encode(F.trim(F.regexp_replace(lower_ascii(text), r"[\x20\x09-\x0D]+", " ")), "UTF-8"))
-
-
 def text_classes(docs: DataFrame, words: int = 5) -> DataFrame:
-    """One row for each distinct word sequence: id, digest, unnamed and doc_id (of its first row), n (shingles), keys (of bands) and sketch.
+    """One row for each distinct text: id, digest (128 bits), unnamed and doc_id (of its first row), n (shingles), keys (of bands) and sketch.
 
     The first row has the least doc_id; rows without one come last. A text without words has no keys.
     """
@@ -180,7 +177,7 @@ def text_classes(docs: DataFrame, words: int = 5) -> DataFrame:
 
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_digest(text).alias("digest"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.encode(text, "UTF-8")).alias("digest"), text.alias("text"))
 
 
 def likely(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -212,8 +209,9 @@ def alike(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, sim
 
     pairs = durable(likely(pairs, classes, similarity))
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    named = classes.join(wanted, "id", "left_semi").select("id", "digest", F.col("doc_id").alias("first_id"))
-    there = _texts(docs).join(named, "digest").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    named = durable(classes.join(wanted, "id", "left_semi").select("id", "digest", F.col("doc_id").alias("first_id")))
+    few = named.count() <= SENT  # then the texts stay where they are
+    there = _texts(docs).join(F.broadcast(named) if few else named, "digest").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
     there = durable(there.dropDuplicates(["id"]).select("id", "text"))
     both = pairs.join(there.select(F.col("id").alias("a"), "text"), "a").join(there.select(F.col("id").alias("b"), F.col("text").alias("other")), "b")
     return durable(both.select("a", "b", "text", "other").mapInArrow(run, "a long, b long"))
@@ -255,9 +253,10 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Data
     """The rows of `docs`, with all their columns, that stand for their group: texts linked by similarity.
 
     A group is represented by its least doc_id (a row without one only where the group has
-    no other), of equal ids by the least digest. Of rows that repeat a doc_id and its words
+    no other), of equal ids by the least digest. Of rows that repeat a doc_id and its text
     one stays, the one with the least hash of its columns. Rows that share a doc_id but not
-    their words are judged each by its own text.
+    their text are judged each by its own. Null is the empty text; texts without words are
+    like equal texts alone.
     """
     classes = text_classes(docs, words)
     roots = durable(components(similar_edges(docs, classes, words, similarity)).withColumnRenamed("node", "id"))
@@ -266,7 +265,7 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Data
     stay = durable(stay.unionByName(classes.join(roots, "id", "left_anti").select("unnamed", "doc_id", "digest")))
     keys = {"digest": F.col("digest"), "unnamed": F.col("doc_id").isNull(), "number": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))}
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), word_digest(text).alias("digest"), keys["unnamed"].alias("unnamed"), keys["number"].alias("number"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.md5(F.encode(text, "UTF-8")).alias("digest"), keys["unnamed"].alias("unnamed"), keys["number"].alias("number"))
     kept = rows.join(stay.select("digest", "unnamed", keys["number"].alias("number")), ["digest", "unnamed", "number"], "left_semi")
     order = F.xxhash64(*[F.col(f"row.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
     return kept.groupBy("digest", "unnamed", "number").agg(F.min_by("row", order).alias("row")).select("row.*")
