@@ -3,10 +3,11 @@
 Regular expressions propose spans. Four labelers vote on each (1, -1, or 0 for
 abstention): the strict form of its kind, a gazetteer (domains, address blocks, issuer
 and country prefixes, names of secrets), the words before it, and the shape of its
-characters. The votes of all documents are counted by kind and pattern, which gives a
-bounded table (kinds x 3^4 rows). On it the driver runs expectation maximisation for the
-labelers' reliabilities and fits a logistic span classifier to the posteriors. The
-classifier, a sum of weights of votes, is then a column expression.
+characters. The votes of all documents are counted by kind, pattern of votes and shape of
+the span and its surroundings, which gives a bounded table. On it the driver runs
+expectation maximisation for the labelers' reliabilities and fits a logistic span classifier
+to the posteriors; it sees the shape, which no labeler votes on in this form, besides the
+votes. The classifier, a sum of weights, is then a column expression.
 
 Base spans (email, ip, card, phone as defined by their patterns and checks) always stay;
 spans of further kinds stay where the classifier says so.
@@ -21,8 +22,10 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,8 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "ssn", "iban", "local_phone")
 LABELERS = ("form", "gazetteer", "context", "shape")
 CONTEXT = 24
+#: How many values each part of a span's shape has.
+SHAPE = (5, 4, 4)
 KEEP_AT = 0.5
 
 PATTERNS = {
@@ -80,57 +85,71 @@ VOTES = {
 }
 
 
-def _running(lengths: Column, block: int = 512) -> Column:
-    """Running sums (inclusive), block by block so that no long array is copied for every element."""
-    zero = F.array().cast("array<bigint>")
+def _scan(values: Column, join: Callable[[Column, Column], Column], block: int = 512) -> Column:
+    """Inclusive running joins (sums, greatest) of numbers from 0 up, block by block so that no long array is copied for every element."""
+    zero, none = F.array().cast("array<bigint>"), F.lit(0).cast("bigint")
 
-    def sums(xs: Column) -> Column:
-        return F.aggregate(xs, zero, lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("long")) + x)))
+    def last(xs: Column) -> Column:
+        return F.coalesce(F.try_element_at(xs, F.lit(-1)), none)
 
-    n = F.size(lengths)
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / block).cast("int"))), lambda b: sums(F.slice(lengths, b * block + 1, F.lit(block))))
+    def run(xs: Column) -> Column:
+        return F.aggregate(xs, zero, lambda a, x: F.concat(a, F.array(join(last(a), x))))
+
+    def parts(v: Column) -> Column:
+        count = F.greatest(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int"))
+        return F.transform(F.sequence(F.lit(0), count), lambda b: run(F.slice(v, b * block + 1, F.lit(block))))
 
     def joined(p: Column) -> Column:
-        ends = F.transform(p, lambda x: F.coalesce(F.try_element_at(x, F.lit(-1)), F.lit(0).cast("long")))
-        before = let(sums(ends), lambda t: F.concat(F.array(F.lit(0).cast("long")), t))
-        return F.flatten(F.zip_with(p, F.slice(before, F.lit(1), F.size(p)), lambda x, o: F.transform(x, lambda v: v + o)))
+        before = let(run(F.transform(p, last)), lambda t: F.concat(F.array(none), t))
+        return F.flatten(F.zip_with(p, F.slice(before, F.lit(1), F.size(p)), lambda x, o: F.transform(x, lambda v: join(v, o))))
+
+    return let(values, lambda v: let(parts(v), joined))
+
 
-    return let(parts, joined)
+def _shape(value: Column, before: Column) -> Column:
+    """What the span classifier sees besides the votes: steps of the length, of the share of digits, and the kind of character before."""
+    n = F.length(value)
+    share = F.length(_digits(value)) / n
+    length = F.when(n < 8, 0).when(n < 13, 1).when(n < 20, 2).when(n < 32, 3).otherwise(4)
+    digits = F.when(share == 0, 0).when(share < 0.34, 1).when(share < 0.8, 2).otherwise(3)
+    edge = F.when(before == "", 0).when(F.rlike(before, F.lit(r"[\p{L}\p{N}]$")), 1).when(F.rlike(before, F.lit(r"\s$")), 2).otherwise(3)
+    return F.array(length, digits, edge)
 
 
 def _spans(text: Column, kind: str) -> Column:
-    """All spans of a kind: (start, end, votes), from the pieces between matches and the matches themselves."""
+    """All spans of a kind: (start, end, votes, shape), from the pieces between matches and the matches themselves.
+
+    Nothing is looked up in the whole text for a single span, so the work grows with the text alone.
+    """
     pattern = F.lit(PATTERNS[kind])
+    end_of = lambda x: F.right(x, F.lit(CONTEXT))
 
-    def placed(matches: Column) -> Column:
-        gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p).cast("long"))
-        sizes = F.transform(matches, lambda m: F.length(m).cast("long"))
-        ends = _running(F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), sizes, lambda g, s: g + s))
-        return F.zip_with(matches, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value")))
+    def placed(matches: Column, gaps: Column) -> Column:
+        ends = _scan(F.zip_with(gaps, matches, lambda g, m: (F.length(g) + F.length(m)).cast("bigint")), lambda a, x: a + x)
+        ended = F.zip_with(matches, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value")))
+        earlier = F.slice(F.concat(F.array(F.lit("")), matches), F.lit(1), F.size(matches))
+        before = F.zip_with(earlier, gaps, lambda m, g: end_of(F.concat(end_of(m), end_of(g))))
+        return F.zip_with(ended, before, lambda s, b: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), b.alias("before")))
 
     def judged(s: Column) -> Column:
-        before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(CONTEXT)).cast("int"))
-
-        def votes(b: Column) -> Column:
-            each = []
-            for good, bad, where in VOTES[kind]:
-                on = s["value"] if where == "value" else b
-                vote = F.lit(0)
-                if good:
-                    vote = F.when(F.rlike(on, F.lit(good)), 1).otherwise(vote)
-                if bad:
-                    vote = F.when(F.rlike(on, F.lit(bad)), -1).otherwise(vote)
-                each.append(vote)
-            return F.array(*each)
-
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), let(before, votes).alias("votes"))
+        each = []
+        for good, bad, where in VOTES[kind]:
+            on, vote = s[where], F.lit(0)
+            if good:
+                vote = F.when(F.rlike(on, F.lit(good)), 1).otherwise(vote)
+            if bad:
+                vote = F.when(F.rlike(on, F.lit(bad)), -1).otherwise(vote)
+            each.append(vote)
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.array(*each).alias("votes"), _shape(s["value"], s["before"]).alias("shape"))
 
     check = CHECKS.get(kind)
-    none = F.array().cast("array<struct<start:bigint,end:bigint,votes:array<int>>>")
-    some = let(
-        F.regexp_extract_all(text, pattern, F.lit(0)),
-        lambda m: F.when(F.size(m) == 0, none).otherwise(F.transform(F.filter(placed(m), lambda s: check(s["value"])) if check else placed(m), judged)),
-    )
+    none = F.array().cast("array<struct<start:bigint,end:bigint,votes:array<int>,shape:array<int>>>")
+
+    def found(matches: Column) -> Column:
+        spans = let(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), lambda gaps: placed(matches, gaps))
+        return F.transform(F.filter(spans, lambda s: check(s["value"])) if check else spans, judged)
+
+    some = let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: F.when(F.size(m) == 0, none).otherwise(found(m)))
     gate = F.contains(text, F.lit(GATES[kind])) if kind in GATES else F.lit(True)
     if kind not in ("email",):
         gate = gate & F.rlike(text, F.lit("[0-9]"))
@@ -143,15 +162,15 @@ def candidates(docs: DataFrame, *kept: str) -> DataFrame:
     return rows.select("doc_id", *kept, *["text"] * ("text" not in kept), *[_spans(F.col("text"), k).alias(k) for k in KINDS])
 
 
-def patterns(found: DataFrame) -> list[tuple[str, tuple[int, ...], int]]:
-    """(kind, votes, number of spans): at most len(KINDS) * 3^4 rows, whatever the input."""
+def patterns(found: DataFrame) -> list[tuple[str, tuple[int, ...], tuple[int, ...], int]]:
+    """(kind, votes, shape, number of spans): at most len(KINDS) * 3^4 * 80 rows, whatever the input."""
 
     def of(kind: str) -> Column:
-        return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["votes"].alias("votes")))
+        return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["votes"].alias("votes"), s["shape"].alias("shape")))
 
     named = F.flatten(F.array(*map(of, KINDS)))
-    counted = found.select(F.explode(named).alias("s")).groupBy("s.kind", "s.votes").count()
-    return sorted((r["kind"], tuple(r["votes"]), r["count"]) for r in counted.collect())
+    counted = found.select(F.explode(named).alias("s")).groupBy("s.kind", "s.votes", "s.shape").count()
+    return sorted((r["kind"], tuple(r["votes"]), tuple(r["shape"]), r["count"]) for r in counted.collect())
 
 
 def _sigmoid(z: float) -> float:
@@ -184,30 +203,57 @@ def reliabilities(counted: list[tuple[str, tuple[int, ...], int]], rounds: int =
     return posterior
 
 
-def span_classifier(counted: list[tuple[str, tuple[int, ...], int]], rounds: int = 300, rate: float = 0.5) -> tuple[dict[str, float], list[float]]:
-    """Logistic weights (one for each kind, one for each labeler's vote), fitted to the posteriors."""
-    bias, weight = {k: 0.0 for k in KINDS}, [1.0] * len(LABELERS)
-    posterior = reliabilities(counted)
-    sizes = {k: sum(math.sqrt(n) for kind, _, n in counted if kind == k) or 1.0 for k in KINDS}
+def _columns(kind: str, votes: tuple[int, ...], shape: tuple[int, ...]) -> list[float]:
+    """A span as the classifier sees it: its kind, its votes, and its shape within its kind."""
+    out = [float(k == kind) for k in KINDS] + [float(v) for v in votes]
+    for k in KINDS:
+        for value, steps in zip(shape, SHAPE):
+            out += [float(k == kind and value == step) for step in range(steps)]
+    return out
+
+
+def span_classifier(counted: list[tuple[str, tuple[int, ...], tuple[int, ...], int]], rounds: int = 30, ridge: float = 0.02) -> np.ndarray:
+    """Logistic weights (see `_columns`) fitted to the posteriors that the labelers' reliabilities give.
+
+    Each kind weighs the same, within it each pattern by the root of its spans. Votes are drawn to a weight of 1, all else to 0.
+    """
+    votes: Counter = Counter()
+    for kind, vote, _, n in counted:
+        votes[kind, vote] += n
+    told = [(*key, n) for key, n in sorted(votes.items())]
+    posterior = {key[:2]: p for key, p in zip(told, reliabilities(told))}
+    prior = np.array([0.0] * len(KINDS) + [1.0] * len(LABELERS) + [0.0] * (len(KINDS) * sum(SHAPE)))
+    weight = prior.copy()
+    if not counted:
+        return weight
+    x = np.array([_columns(k, v, s) for k, v, s, _ in counted])
+    target = np.array([posterior[k, v] for k, v, _, _ in counted])
+    share = np.sqrt([n for *_, n in counted])
+    kinds = np.array([KINDS.index(k) for k, *_ in counted])
+    share /= np.bincount(kinds, share, len(KINDS))[kinds]
     for _ in range(rounds):
-        db, dw = {k: 0.0 for k in KINDS}, [0.0] * len(LABELERS)
-        for (kind, votes, n), p in zip(counted, posterior):
-            g = (_sigmoid(bias[kind] + sum(w * v for w, v in zip(weight, votes))) - p) * math.sqrt(n) / sizes[kind]
-            db[kind] += g
-            for j, v in enumerate(votes):
-                dw[j] += g * v / len(KINDS)
-        for k in KINDS:
-            bias[k] -= rate * (db[k] + 0.01 * bias[k])
-        weight = [w - rate * (d + 0.01 * (w - 1)) for w, d in zip(weight, dw)]
-    return bias, weight
-
-
-def believed(kind: str, model: tuple[dict[str, float], list[float]]) -> Column:
+        p = 1 / (1 + np.exp(-np.clip(x @ weight, -30, 30)))
+        slope = x.T @ (share * (p - target)) + ridge * (weight - prior)
+        weight -= np.linalg.solve((x * (share * (p * (1 - p) + 1e-3))[:, None]).T @ x + ridge * np.eye(len(weight)), slope)
+    return weight
+
+
+def believed(kind: str, weight: np.ndarray) -> Column:
     """The spans of a kind that stay."""
     if kind in BASE:
         return F.col(kind)
-    bias, weight = model
-    score = lambda s: F.lit(bias[kind]) + sum((F.lit(w) * s["votes"][j] for j, w in enumerate(weight)), F.lit(0.0))
+    k, at = KINDS.index(kind), len(KINDS) + len(LABELERS)
+    own = weight[at + k * sum(SHAPE) : at + (k + 1) * sum(SHAPE)].tolist()
+    steps = [own[sum(SHAPE[:i]) : sum(SHAPE[: i + 1])] for i in range(len(SHAPE))]
+
+    def score(s: Column) -> Column:
+        out = F.lit(float(weight[k]))
+        for j in range(len(LABELERS)):
+            out = out + F.lit(float(weight[len(KINDS) + j])) * s["votes"][j]
+        for i, values in enumerate(steps):
+            out = out + F.element_at(F.array(*map(F.lit, values)), s["shape"][i] + 1)
+        return out
+
     return F.filter(kind, lambda s: score(s) >= math.log(KEEP_AT / (1 - KEEP_AT)))
 
 
@@ -235,19 +281,23 @@ def redact(docs: DataFrame) -> DataFrame:
     def named(kind: str) -> Column:
         return F.transform(believed(kind, model), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("name")))
 
+    # Offsets count code points; in UTF-32 they are places of bytes, so no span costs a walk through the text.
+    mark = F.unhex(F.lit("0000FEFF"))  # read as the byte order, so that a mark in the text stays
+    cut = lambda wide, at, n: F.decode(F.concat(mark, F.substring(wide, (4 * at + 1).cast("int"), (4 * n).cast("int"))), "UTF-32")
+
+    def replaced(every: Column, wide: Column) -> Column:
+        # Spans that begin within an earlier one add nothing of their own: their rest is cut with it.
+        def pieces(reach: Column) -> Column:
+            before = F.slice(F.concat(F.array(F.lit(0).cast("bigint")), reach), F.lit(1), F.size(every))
+            parts = F.zip_with(every, before, lambda s, r: F.when(s["start"] >= r, F.concat(cut(wide, r, s["start"] - r), s["name"])).otherwise(""))
+            last = F.element_at(reach, -1)
+            return F.concat(F.array_join(parts, ""), cut(wide, last, F.octet_length(wide) / 4 - last))
+
+        return let(_scan(F.transform(every, lambda s: s["end"]), F.greatest), pieces)
+
     every = F.array_sort(F.concat(*map(named, KINDS)))
-    rows = candidates(rows, *own.values()).withColumn("every", every)
-    # Spans that begin within an earlier one add nothing of their own: their rest is cut with it.
-    reach = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.element_at("reach", F.greatest(i, F.lit(1))))
-    rows = rows.withColumn("reach", F.aggregate(
-        "every", F.struct(F.array().cast("array<bigint>").alias("all"), F.lit(0).cast("long").alias("top")),
-        lambda a, s: let(F.greatest(a["top"], s["end"]), lambda t: F.struct(F.concat(a["all"], F.array(t)).alias("all"), t.alias("top"))), lambda a: a["all"]))
-    pieces = F.transform("every", lambda s, i: let(reach(i), lambda r: F.when(
-        s["start"] >= r, F.concat(F.substring(F.col("text"), (r + 1).cast("int"), (s["start"] - r).cast("int")), s["name"])).otherwise("")))
-    last = F.coalesce(F.try_element_at("reach", F.lit(-1)), F.lit(0).cast("long"))
-    rest = F.substring(F.col("text"), (last + 1).cast("int"), F.length("text"))
-    clean = F.when(F.size("every") == 0, F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), rest))
-    rows = rows.withColumn("clean", clean)
+    rows = candidates(rows, *own.values())
+    rows = rows.withColumn("clean", let(every, lambda e: F.when(F.size(e) == 0, F.col("text")).otherwise(let(F.encode("text", "UTF-32"), lambda w: replaced(e, w)))))
     out = []
     for c, n in own.items():
         kind = docs.schema[c].dataType

@@ -72,16 +72,39 @@ def test_license_gate(spark, monkeypatch):
 def test_topk(spark):
     rows = [(i, [math.sin(i * 7 + j) * (3 if i % 9 == 0 else 1) for j in range(10)]) for i in range(130)]
     rows += [(200, None), (201, [1.0, None]), (202, [float("nan")] * 10), (203, [float("inf")] * 10), (220, [0.5] * 3), (None, [1.0] * 10), (240, [])]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int" if False else "vec_id long, embedding array<double>")
-    q = {i: [math.floor(64 * x) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    rows += [(9, [2.0] * 10), (9, [2.0] * 10), (40, [-1.0] * 10)]  # repeated rows, of a candidate and of a query
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for a in q:
-        if a % 20 == 0:
-            scores = sorted((-sum(x * y for x, y in zip(q[a], q[b])), b) for b in q if b != a)[:20]
-            want += [(a, k + 1, b, -s) for k, (s, b) in enumerate(scores)]
+    for a in sorted({i for i, _ in q if i % 20 == 0}):
+        scores = sorted((-sum(x * y for x, y in zip(v, w)), b) for i, v in q if i == a for b, w in q if b != a)[:20]
+        want += [(a, k + 1, b, -s) for k, (s, b) in enumerate(scores)]
     assert by_row(topk.top_k(frame).collect(), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
     assert topk.top_k(frame.limit(0)).collect() == []
-    assert topk.top_k(frame.where("vec_id in (20, 40)")).count() == 2
+    assert topk.top_k(frame.where("vec_id in (20, 60)")).count() == 2
+
+
+def test_topk_scores_few_pairs(monkeypatch):
+    """The cutoff spares most pairs their whole score, and loses none of the best."""
+    import numpy as np
+    import pandas as pd
+
+    rng, scored = np.random.default_rng(2), []
+    centres = rng.integers(-40, 40, (30, 64))
+    vectors = (centres[rng.integers(0, 30, 3000)] + rng.integers(-6, 7, (3000, 64))).astype(np.int8)
+    asked = np.arange(0, 3000, 20)
+    exact = topk.exact
+    monkeypatch.setattr(topk, "exact", lambda q, c, rows, cols: scored.append(len(rows)) or exact(q, c, rows, cols))
+    block = {"qb": 0, "q_nth": 0, "q_ids": asked, "q_vectors": vectors[asked].tobytes(), "q_width": 64, "q_kind": "i1"}
+    pairs = [block | {"c_ids": np.arange(a, a + 1000), "c_vectors": vectors[a : a + 1000].tobytes(), "c_width": 64, "c_kind": "i1"} for a in (0, 1000, 2000)]
+    first = pd.concat(topk.met(iter([pd.DataFrame(pairs)]), 20, False))
+    best = first.groupby("query_id")["score"].min()
+    known = [p | {"known_ids": best.index.to_numpy(), "known": best.to_numpy()} for p in pairs]
+    found = pd.concat(topk.met(iter([pd.DataFrame(known)]), 20, True))
+    whole = vectors[asked].astype(int) @ vectors.T.astype(int)
+    whole[np.arange(len(asked)), asked] = -(10**9)
+    assert sorted(found["score"].tolist()) == sorted(np.sort(whole, axis=1)[:, -20:].reshape(-1).tolist())
+    assert sum(scored[:3]) < 0.15 * whole.size and sum(scored[3:]) < 0.15 * whole.size
 
 
 # 3
@@ -228,7 +251,6 @@ def test_near_copies_at_the_threshold(spark):
 def brute_groups(rows, words=5, similarity=0.8):
     """Which rows hang together, by comparing all pairs of word sequences."""
     sets = [set(simhash.shingle_hashes(t or "", words).tolist()) for _, t in rows]
-    parts = [tuple((t or "").encode().lower().split()) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -239,7 +261,7 @@ def brute_groups(rows, words=5, similarity=0.8):
     for a in range(len(rows)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            if parts[a] == parts[b] or (both and both >= similarity * (len(sets[a]) + len(sets[b]) - both)):
+            if rows[a][1] == rows[b][1] or (both and both >= similarity * (len(sets[a]) + len(sets[b]) - both)):
                 root[find(a)] = find(b)
     groups = {}
     for k in range(len(rows)):
@@ -292,7 +314,7 @@ def test_keep_first_of_odd_rows(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, _nth int, `row` int, digest string")
     got = simhash.keep_first(frame)
     assert got.columns == frame.columns
-    assert sorted(((r["doc_id"], (r["text"] or "").split()[:1]) for r in got.collect()), key=repr) == sorted([(1, base.split()[:1]), (1, sentence(90, 50).split()[:1]), (None, ["alone"]), (4, [])], key=repr)
+    assert sorted(((r["doc_id"], (r["text"] or "").split()[:1]) for r in got.collect()), key=repr) == sorted([(1, base.split()[:1]), (1, sentence(90, 50).split()[:1]), (None, ["alone"]), (4, []), (5, [])], key=repr)
 
 
 def test_components_of_a_chain(spark):
@@ -541,3 +563,45 @@ def test_pii(docs, none):
     text = {r["doc_id"]: r["text"] for r in clean.collect()}
     assert text[9].startswith("mail [EMAIL] or call [PHONE], card [CARD], host [IP], bad 300.1.1.1 and [IP].5") and text[1] is None
     assert pii.find(none).collect() == [] and pii.redact(none).collect() == []
+
+
+def test_pii_of_a_long_text(spark):
+    """Work grows with the text, not with text times spans; offsets count code points, and a byte order mark stays."""
+    import time
+
+    part = "\ufeffnäme a{0}@b.example.com 漢😀 filler words here "
+    text = "".join(part.format(k) for k in range(30_000))
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    row = pii.find(frame).first()
+    assert row["n_email"] == 30_000
+    spans = [f"email:{m.start()}:{m.end()}" for m in re.finditer(PATTERNS["email"], text)]
+    assert row["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest()
+    assert pii.redact(frame).first()["text"] == re.sub(PATTERNS["email"], "[EMAIL]", text)
+    assert time.time() - began < 120
+
+
+def test_span_classifier_uses_the_shape():
+    """Spans with equal votes are told apart by their shape, where other spans of that shape are clear."""
+    clear = [("secret", (1, 1, 1, 1), (4, 2, 3), 900), ("secret", (-1, -1, 0, -1), (2, 1, 2), 900)]
+    unclear = [("secret", (0, 0, 0, 0), (4, 2, 3), 5), ("secret", (0, 0, 0, 0), (2, 1, 2), 5)]
+    weight = pii.span_classifier(clear + unclear)
+    high, low = (sum(w * x for w, x in zip(weight, pii._columns(*u[:3]))) for u in unclear)
+    assert high > low + 0.3
+
+
+def test_reliabilities():
+    """A labeler that votes at random is believed less than one that others agree with."""
+    import itertools
+    import random
+
+    rng, votes = random.Random(1), Counter()
+    for _ in range(4000):
+        true = rng.random() < 0.5
+        say = lambda right: (1 if true else -1) if rng.random() < right else (-1 if true else 1)
+        votes["ssn", (say(0.95), say(0.9), say(0.9), say(0.5))] += 1
+    told = [(*key, n) for key, n in sorted(votes.items())]
+    posterior = {v: p for (_, v, _), p in zip(told, pii.reliabilities(told))}
+    for a, b in itertools.product((-1, 1), repeat=2):
+        assert abs(posterior[a, b, 1, 1] - posterior[a, b, 1, -1]) < abs(posterior[1, a, b, 1] - posterior[-1, a, b, 1]) + 0.05
+    assert posterior[1, 1, 1, -1] > 0.9 and posterior[-1, -1, -1, 1] < 0.1
