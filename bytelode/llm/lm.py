@@ -34,6 +34,7 @@ Repeated rows count, and are scored, each. Other columns are ignored.
 from __future__ import annotations
 
 import functools
+import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -53,18 +54,22 @@ WINDOW, STRIDE, SIZE = 32, 28, 16
 SINGLES, GROUPS = 40, 24
 CLASSES = SINGLES + GROUPS
 #: Columns of what a subword follows: the most frequent subwords, and one for all others.
-BEFORE = 256
+BEFORE = 128
 FREQUENT = 1 << 18
 LONGEST_FREQUENT = 64
 #: At least so many batches are learnt from at the start; RATE is the rate of the pass over all documents.
 LEAST_STEPS, BATCH = 400, 256
 RATE = 2e-3
 #: Words whose codes a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: How strongly a chain's counts are drawn to those of subwords alone.
 DRAWN = 4.0
 
 
+#: White space that does not part words.
+ODD, ODD_ASCII = re.compile(r"\s"), re.compile("[\x1c-\x1f]")
+
+
 def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
@@ -77,20 +82,39 @@ class Vocabulary:
     """Subword ids of words, each as it stands after a blank."""
 
     def __init__(self, path: str | None) -> None:
-        from tokenizers import Tokenizer
+        import public_tokenizers
+        import tiktoken
 
-        self.coder = Tokenizer.from_file(path or bpe.default_path())
-        self.coder.encode_special_tokens = True
-        self.coder.no_truncation(), self.coder.no_padding()
-        self.size = self.coder.get_vocab_size()
+        known = bpe.Vocabulary(path or bpe.default_path())
+        self.size = len(known.bytes)
         self.end = self.size - 1  # the special token, which no word holds
+        self.lengths = np.fromiter(map(len, known.bytes), np.int64, self.size)
+        ranks = {raw: i for i, raw in enumerate(known.bytes) if i not in known.special.values()}
+        self.coder = tiktoken.Encoding("subwords", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All words' ids in a row, and where each word's begin (one more than the words)."""
-        found = [e.ids for e in self.coder.encode_batch_fast([" " + w.decode() for w in words], add_special_tokens=False)]
-        bounds = np.zeros(len(found) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, found), np.int64, len(found)), out=bounds[1:])
-        return np.fromiter(chain.from_iterable(found), np.int64, int(bounds[-1])), bounds
+        """All words' ids in a row, and where each word's begin (one more than the words).
+
+        Words are encoded as one text, in which a blank begins a piece; only beside other
+        white space than that which parts words may a piece reach over a word's start, so
+        words that hold any are encoded alone.
+        """
+        texts = [w.decode() for w in words]
+        odd = [k for k, t in enumerate(texts) if not t.isascii() and ODD.search(t) or ODD_ASCII.search(t)]
+        for k in odd:
+            texts[k] = "x"
+        ids = np.array(self.coder.encode_ordinary("".join([" " + t for t in texts])), np.int64)
+        sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
+        sizes[odd] = 2
+        ends = np.cumsum(self.lengths[ids])
+        bounds = np.concatenate([[0], np.searchsorted(ends, np.cumsum(sizes)) + 1])
+        if odd:
+            parts = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+            for k in odd:
+                parts[k] = np.array(self.coder.encode_ordinary(" " + words[k].decode()), np.int64)
+            ids = np.concatenate(parts)
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        return ids, bounds
 
 
 @functools.cache
@@ -111,11 +135,11 @@ class Codes(dict):
         return {"first": ids[bounds[:-1]], "last": ids[bounds[1:] - 1]}
 
     def learn(self, words: list[bytes], keep: int = 0) -> None:
-        """Describes words not met before; beyond REMEMBERED all but the first `keep` are forgotten."""
+        """Describes words not met before; with `keep` all but the first so many are forgotten where there are over REMEMBERED more."""
         new = list(set(words).difference(self))
         if not new:
             return
-        if len(self) > REMEMBERED + keep:
+        if keep and len(self) > REMEMBERED + keep:
             for word in list(self)[keep:]:
                 del self[word]
             self.columns = {k: v[:keep] for k, v in self.columns.items()}
@@ -154,7 +178,7 @@ class Network:
         np.minimum(a, 30, out=a)
         np.exp(a, out=a)
         a *= self.mask
-        a *= (1 / a.sum(axis=2, keepdims=True)).astype(np.float32)
+        a *= (1 / (a @ np.ones(WINDOW, a.dtype)))[:, :, None]
         o = (a @ v).reshape(-1, d)
         h = x.reshape(-1, d) + o @ p["proj"]
         np.maximum(h, 0.1 * h, out=h)
@@ -162,7 +186,7 @@ class Network:
         e += p["bias"].reshape(-1)
         np.minimum(e, 30, out=e)
         np.exp(e, out=e)
-        return {"x": x, "q": q, "k": k, "v": v, "a": a, "o": o, "h": h, "e": e, "total": e.sum(axis=1)}
+        return {"x": x, "q": q, "k": k, "v": v, "a": a, "o": o, "h": h, "e": e, "total": e @ np.ones(CLASSES, e.dtype)}
 
     def embed(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         x = self.p["first"][first]
@@ -182,12 +206,12 @@ class Network:
         c = self.forward(self.embed(first, last))
         t, w = target.reshape(-1), weight.reshape(-1)
         rows, total = np.arange(len(t)), max(float(w.sum()), 1.0)
-        dz = c["e"]
-        dz *= (1 / c["total"])[:, None].astype(dz.dtype)
-        loss = float(-(np.log(dz[rows, t]) * w).sum() / total)
+        dz, w = c["e"], (w / total).astype(c["e"].dtype)
+        dz *= (1 / c["total"])[:, None]
+        loss = float(-(np.log(dz[rows, t]) * w).sum())
         dz[rows, t] -= 1
-        dz *= (w / total)[:, None].astype(dz.dtype)
-        g: dict[str, Any] = {"out": c["h"].T @ dz, "bias": dz.sum(axis=0).reshape(p["bias"].shape)}
+        dz *= w[:, None]
+        g: dict[str, Any] = {"out": c["h"].T @ dz, "bias": (np.ones(len(t), dz.dtype) @ dz).reshape(p["bias"].shape)}
         dpre = dz @ p["out"].T
         dpre *= np.where(c["h"] > 0, np.float32(1), np.float32(0.1))
         g["proj"] = c["o"].T @ dpre
@@ -234,10 +258,12 @@ class Network:
 
 def _by_row(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids that occur, and the sums of their values."""
+    if len(ids) and int(ids.max()) < 1 << 16:
+        ids = ids.astype(np.uint16)  # which sorts in linear time
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
     starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    return ids[starts], np.add.reduceat(values[order], starts, axis=0)
+    return ids[starts].astype(np.int64), np.add.reduceat(values[order], starts, axis=0)
 
 
 def windows_of(bounds: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,16 +282,19 @@ def windows_of(bounds: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray,
     return begin, fresh, end
 
 
-def laid(first: np.ndarray, last: np.ndarray, begin: np.ndarray, fresh: np.ndarray, end: np.ndarray, starts: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(windows, WINDOW) arrays: the first and last subword of the token before, the tokens' places, and which are the window's own.
+def before(side: np.ndarray, bounds: np.ndarray, none: int) -> np.ndarray:
+    """The subword of the token before each; documents lie in a row, and `none` comes before their first."""
+    out = np.empty(len(side), np.int32)
+    out[1:] = side[:-1]
+    out[bounds[:-1]] = none
+    return out
 
-    `starts` marks the first tokens of documents, which `none` comes before.
-    """
+
+def laid(begin: np.ndarray, fresh: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, WINDOW) arrays: the tokens' places, and which are the window's own."""
     at = begin[:, None] + np.arange(WINDOW)
     own = (at >= fresh[:, None]) & (at < end[:, None])
-    at = np.minimum(at, end[:, None] - 1)
-    before, begins = np.maximum(at - 1, 0), starts[at]
-    return np.where(begins, none, first[before]), np.where(begins, none, last[before]), at, own
+    return np.minimum(at, end[:, None] - 1, out=at), own
 
 
 def classify(met: np.ndarray, counts: np.ndarray, rounds: int = 8) -> np.ndarray:
@@ -343,12 +372,11 @@ class Model:
         """Log chance of each token's first subword after the tokens before it, for documents that lie in a row."""
         out = np.zeros(len(first))
         target = self.network.classes[first]
-        starts = np.zeros(len(first), bool)
-        starts[bounds[:-1]] = True
+        x, y = before(first, bounds, self.none), before(last, bounds, self.none)
         begin, fresh, end = windows_of(bounds, STRIDE)
         for k in range(0, len(begin), BATCH):
-            x, y, at, own = laid(first, last, begin[k : k + BATCH], fresh[k : k + BATCH], end[k : k + BATCH], starts, self.none)
-            out[at[own]] = self.network.log_classes(x, y, target[at])[own]
+            at, own = laid(begin[k : k + BATCH], fresh[k : k + BATCH], end[k : k + BATCH])
+            out[at[own]] = self.network.log_classes(x[at], y[at], target[at])[own]
         return out + self.share[first]
 
 
@@ -365,25 +393,6 @@ class Known(Codes):
         return self.model.described(words, self.vocabulary)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) over all training documents; each task sums what it has read first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
-
-        for batch in in_chunks(batches):
-            counts.update(chain.from_iterable(map(words_of, texts_of(batch))))
-            if len(counts) > 300_000:
-                yield told()
-                counts.clear()
-        yield told()
-
-    return docs.select("doc_id", "text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
 def subword_counts(words: DataFrame, path: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(times begun with, words begun with) by subword, and counts of (column, following subword) pairs within words.
 
@@ -443,22 +452,45 @@ def frequent_words(words: DataFrame) -> dict[bytes, int]:
 
 
 def coded(training: DataFrame, path: str | None) -> DataFrame:
-    """doc_id and `codes` of every training document: its words' first, then their last subwords, little-endian unsigned 16-bit."""
+    """Two kinds of rows: doc_id and `codes` of every training document, its words' first, then their last subwords
+    (little-endian unsigned 16-bit); and word and c, counts that each task has summed over what it has read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes(vocabulary_of(path))
+        codes, counts = Codes(vocabulary_of(path)), np.zeros(0, np.int64)
+
+        def told(owners: pa.Array, found: list[bytes], words: list[bytes], c: np.ndarray) -> pa.RecordBatch:
+            m, n = len(owners), len(words)
+            columns = [
+                pa.concat_arrays([owners, pa.nulls(n, pa.int64())]), pa.concat_arrays([pa.array(found, pa.binary()), pa.nulls(n, pa.binary())]),
+                pa.concat_arrays([pa.nulls(m, pa.string()), pa.array(words, pa.binary()).cast(pa.string())]), pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(c, pa.int64())]),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "codes", "word", "c"])
+
+        none = pa.array([], pa.int64())
         for batch in in_chunks(batches):
             texts = [words_of(t) for t in texts_of(batch)]
             every = list(chain.from_iterable(texts))
+            if len(codes) > REMEMBERED:
+                yield told(none, [], list(codes), counts)
+                codes, counts = Codes(vocabulary_of(path)), np.zeros(0, np.int64)
             codes.learn(every)
             at, out, begin = codes.places(every), [], 0
+            fresh = np.bincount(at, minlength=len(codes))
+            fresh[: len(counts)] += counts
+            counts = fresh
             pairs = [codes.columns[k][at].astype("<u2") if len(at) else np.zeros(0, "<u2") for k in ("first", "last")]
             for own in texts:
                 out.append(b"".join(x[begin : begin + len(own)].tobytes() for x in pairs))
                 begin += len(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "codes"])
+            yield told(batch.column(0), out, [], np.zeros(0, np.int64))
+        yield told(none, [], list(codes), counts)
 
-    return training.select("doc_id", "text").mapInArrow(run, "doc_id long, codes binary")
+    return training.select("doc_id", "text").mapInArrow(run, "doc_id long, codes binary, word string, c long")
+
+
+def word_counts(codes: DataFrame) -> DataFrame:
+    """(word, c) over all training documents."""
+    return codes.where("word is not null").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def decoded(codes: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -498,16 +530,15 @@ def follow_counts(codes: DataFrame, column: np.ndarray, end: int) -> np.ndarray:
 def examples(network: Network, codes: list[bytes], end: int, pick: np.random.Generator | None = None, most: int = 0) -> tuple[np.ndarray, ...]:
     """Inputs, target classes and weights of all windows of documents, each token once; with `pick` at most `most` windows a document."""
     first, last, bounds = decoded(codes, end)
-    starts = np.zeros(len(first), bool)
-    starts[bounds[:-1]] = True
+    before_first, before_last = before(first, bounds, end + 1), before(last, bounds, end + 1)
     begin, fresh, stop = windows_of(bounds, WINDOW)
     if pick is not None:
         order = np.lexsort((pick.random(len(begin)), stop))
         nth = np.arange(len(order)) - np.searchsorted(stop[order], stop[order])
         some = order[nth < most]
         begin, fresh, stop = begin[some], fresh[some], stop[some]
-    x, y, at, own = laid(first, last, begin, fresh, stop, starts, end + 1)
-    return x, y, network.classes[first[at]], own.astype(np.float32)
+    at, own = laid(begin, fresh, stop)
+    return before_first[at], before_last[at], network.classes[first[at]], own.astype(np.float32)
 
 
 def begin_learning(network: Network, sample: list[bytes], end: int) -> None:
@@ -555,15 +586,16 @@ def learn_all(network: Network, codes: DataFrame, end: int) -> None:
         network.add(got["row"].to_numpy(), got["change"].combine_chunks().flatten().to_numpy().reshape(-1, SIZE).astype(np.float32))
 
 
-def fit(training: DataFrame, words: DataFrame, ends: int, path: str | None = None) -> Model:
+def fit(codes: DataFrame, words: DataFrame, path: str | None = None) -> Model:
     """Counts of all training words; a network that starts from a bounded number of documents and then learns from all."""
     vocabulary = vocabulary_of(path)
     end = vocabulary.end
     tokens, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     known = frequent_words(words)
     begun, kinds_begun, column, keys, n = subword_counts(words, path)
+    codes = codes.where("codes is not null").select("doc_id", "codes")
+    ends = codes.count()
     begun[end] += ends
-    codes = durable(coded(training, path))
     network = Network(classify(follow_counts(codes, column, end), begun))
     sample = codes.join(F.broadcast(bounded_sample(codes.select("doc_id").distinct(), "doc_id", TRAIN_DOCUMENTS)), "doc_id")
     some = sample.groupBy("doc_id").agg(F.min("codes").alias("codes")).collect()  # one text of a doc_id, however often it repeats
@@ -582,8 +614,9 @@ def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     training = rows.where(remainder(F.col("doc_id")) != 1)
-    words = durable(word_counts(training))
-    model = fit(training, words, training.count(), path)
+    codes = durable(coded(training, path))
+    words = durable(word_counts(codes))
+    model = fit(codes, words, path)
     sent = spark.sparkContext.broadcast(model)  # bounded by FREQUENT, LONGEST_FREQUENT and BEFORE times the vocabulary
     smooth = model.tokens + 0.5 * (model.kinds + 1)
 

@@ -445,7 +445,7 @@ def test_lm_against_plain_scoring(spark, monkeypatch):
     m, counts = kept["model"], Counter()
     vocabulary, p = lm.Vocabulary(None), {k: v.astype(float) for k, v in kept["model"].network.p.items()}
     coder = vocabulary.coder
-    spelled = lambda w: coder.encode(" " + w.decode(), add_special_tokens=False).ids
+    spelled = lambda w: coder.encode_ordinary(" " + w.decode())
     for i, text in rows:
         if zlib.crc32(str(i).encode()) % 5 != 1:
             counts.update(lm.words_of(text))
@@ -497,7 +497,8 @@ def test_network_learns_from_all_texts(spark, monkeypatch):
     rows = [(i, sentence(i, 900) + f" {name}") for i, name in enumerate(["zebra", "quartz", "violin", "marble"])]
     rows += [(10 + i, sentence(i, 3)) for i in range(300)]
     training = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
-    model = lm.fit(training, lm.word_counts(training), len(rows))
+    codes = lm.coded(training, None).cache()
+    model = lm.fit(codes, lm.word_counts(codes))
     own = sorted({w for _, t in rows for w in lm.words_of(t)} - {b"zebra", b"quartz", b"violin", b"marble"})
     ids, bounds = lm.Vocabulary(None).ids(own)
     first = np.unique(ids[bounds[:-1]])
@@ -511,6 +512,17 @@ def test_network_learns_from_all_texts(spark, monkeypatch):
         assert sorted(owned.tolist()) == list(range(bounds[-1])) and (fresh >= begin).all()
 
 
+def test_subwords_of_words():
+    """Ids of many words at once are those of each word alone by the tokenizers library."""
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(bpe.default_path())
+    coder.encode_special_tokens = True
+    words = sorted({w for _, t in ROWS for w in lm.words_of(t)} | {x.encode() for x in ("a\u00a0b", "\u3000x", "y\u2003", "\x1cq", "'s", "don't", "12,5", "<|endoftext|>", "é", "漢字", "\u0085")})
+    ids, bounds = lm.Vocabulary(None).ids(words)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [coder.encode(" " + w.decode(), add_special_tokens=False).ids for w in words]
+
+
 def test_network_gradient():
     import numpy as np
 
