@@ -37,8 +37,8 @@ def cut(data: Column, offset: Column | int, size: Column | int) -> Column:
 def number(data: Column, offset: Column | int, size: int, little: bool = True) -> Column:
     """Unsigned number of `size` bytes; null where the bytes aren't all there. Eight bytes give a decimal(20,0)."""
     places = range(size - 1, -1, -1) if little else range(size)
-    digits = F.concat(*[F.hex(cut(data, as_column(offset) + i, 1)) for i in places])
-    value = F.conv(digits, 16, 10).cast("decimal(20,0)" if size > 7 else "bigint")
+    turned = lambda h: F.concat(*[F.substring(h, 2 * i + 1, 2) for i in places])
+    value = let(F.hex(cut(data, offset, size)), lambda h: F.conv(turned(h), 16, 10)).cast("decimal(20,0)" if size > 7 else "bigint")
     return F.when(F.length(data) >= as_column(offset) + size, value)
 
 
@@ -86,12 +86,12 @@ def running(lengths: Column, block: int = 256) -> Column:
     def sums(xs: Column) -> Column:
         return F.aggregate(xs, zero, lambda a, x: F.concat(a, F.array(last(a) + x)))
 
-    n = F.size(lengths)
-    count = F.greatest(F.lit(0), F.floor((n - 1) / block).cast("int"))
-    parts = F.transform(F.sequence(F.lit(0), count), lambda b: sums(F.slice(lengths, b * block + 1, F.lit(block))))
+    def parts(v: Column) -> Column:
+        count = F.greatest(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int"))
+        return F.transform(F.sequence(F.lit(0), count), lambda b: sums(F.slice(v, b * block + 1, F.lit(block))))
 
     def joined(p: Column) -> Column:
         before = let(sums(F.transform(p, last)), lambda t: F.concat(F.array(none), t))
         return F.flatten(F.zip_with(p, F.slice(before, F.lit(1), F.size(p)), lambda x, o: F.transform(x, lambda v: v + o)))
 
-    return let(parts, joined)
+    return let(lengths, lambda v: let(parts(v), joined))

@@ -37,11 +37,29 @@ def adjust(hits: Column) -> Column:
     return F.transform(hits, lambda h: F.struct(F.greatest(h["offset"] - F.coalesce(F.try_element_at(back, h["kind"]), F.lit(0)), F.lit(0).cast("bigint")).alias("offset"), h["kind"].alias("kind")))
 
 
-def keep_apart(hits: Column) -> Column:
-    """Keeps a hit if it lies more than DEDUP_GAP after the last one kept: a fold, as the last kept one decides."""
-    start = F.array().cast("array<struct<offset:bigint,kind:string>>")
-    return F.aggregate(hits, start, lambda kept, h: F.when(
-        (F.size(kept) == 0) | (h["offset"] > F.try_element_at(kept, F.lit(-1))["offset"] + DEDUP_GAP), F.concat(kept, F.array(h))).otherwise(kept))
+def keep_apart(hits: Column, block: int = 512) -> Column:
+    """Keeps a hit if it lies more than DEDUP_GAP after the last one kept: a fold, as the last kept one decides.
+
+    It goes by blocks, so that growing the list of kept hits costs no more than a block each time.
+    """
+    none, last = F.array().cast("array<struct<offset:bigint,kind:string>>"), F.lit(-1 - DEDUP_GAP).cast("bigint")
+
+    def one(state: Column, h: Column) -> Column:
+        stays = h["offset"] > state["last"] + DEDUP_GAP
+        grown = F.concat(state["kept"], F.array(F.struct(h["offset"].alias("offset"), h["kind"].alias("kind"))))
+        return F.struct(F.when(stays, h["offset"]).otherwise(state["last"]).alias("last"), F.when(stays, grown).otherwise(state["kept"]).alias("kept"))
+
+    def several(state: Column, some: Column) -> Column:
+        done = F.aggregate(some, F.struct(state["last"].alias("last"), none.alias("kept")), one)
+        return let(done, lambda d: F.struct(d["last"].alias("last"), F.concat(state["parts"], F.array(d["kept"])).alias("parts")))
+
+    def fold(all_hits: Column) -> Column:
+        count = F.greatest(F.lit(0), F.floor((F.size(all_hits) - 1) / block).cast("int"))
+        blocks = F.transform(F.sequence(F.lit(0), count), lambda b: F.slice(all_hits, b * block + 1, F.lit(block)))
+        start = F.struct(last.alias("last"), F.array().cast("array<array<struct<offset:bigint,kind:string>>>").alias("parts"))
+        return F.flatten(F.aggregate(blocks, start, several, lambda s: s["parts"]))
+
+    return let(hits, fold)
 
 
 def plausible(data: Column, kind: Column, offset: Column) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from ..dims import CONFIDENCE, ENTROPY_HIGH, ENTROPY_LOW, LEAST_FILE, MOST_OUTPUT
 
-SCHEMA = "strategy int, kind string, seq bigint, name string, offset bigint, confidence double, crc_errors bigint, lzma_errors bigint, method string, supplement boolean, data binary"
+SCHEMA = "strategy int, kind string, seq bigint, name string, offset bigint, confidence double, crc_errors bigint, lzma_errors bigint, method string, supplement boolean, data binary, resyncs bigint, tainted bigint, zeroed bigint, rejected bigint"
 #: Fixed values. Chunked decoding of damaged LZMA.
 CHUNK, MOST_CHUNKS, SLIDE, PROBE, LEAST_PROGRESS, HEADER = 32 << 10, 32, 64, 64, 16, 13
 LZMA_MEMORY = 128 << 20
@@ -43,30 +43,50 @@ class Row(NamedTuple):
     method: str
     supplement: bool
     data: bytes
+    resyncs: int = 0
+    tainted: int = 0
+    zeroed: int = 0
+    rejected: int = 0
 
 
 def _carve(strategy: int, method: str, data: bytes, lzma_errors: int = 0, crc_errors: int = 0) -> Row:
     return Row(strategy, "carve", 0, None, 0, 0.0, crc_errors, lzma_errors, method, False, data)
 
 
-def inflate(make: Callable[[], Any], data: bytes) -> bytes:
-    """All that a decompressor gives before it ends or fails."""
-    out, decoder = io.BytesIO(), make()
+_FAILURES = (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError, MemoryError)
+_STEP = 1 << 16
+
+
+def _fed(decoder: Any, part: bytes, room: int) -> bytes:
+    """What a decoder gives for a part of its input, at most `room` bytes and about that much memory."""
+    return decoder.decompress(part, room) if room > 0 else b""
+
+
+def inflate(make: Callable[[], Any], data: bytes, most: int = MOST_OUTPUT) -> bytes:
+    """All that a decompressor gives before it ends or fails, at most `most` bytes.
+
+    Input goes in steps. If one fails, a new decoder takes the steps before it again, and the
+    failing one byte by byte, so what precedes the damage still comes out.
+    """
+    out, size, decoder, at = [], 0, make(), 0
     try:
-        for at in range(0, len(data), 1 << 16):
-            if getattr(decoder, "eof", False) or out.tell() >= MOST_OUTPUT:
+        for at in range(0, len(data), _STEP):
+            if getattr(decoder, "eof", False) or size >= most:
                 break
-            out.write(decoder.decompress(data[at : at + (1 << 16)]))
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        # Feed the failing part byte by byte: what precedes the damage still comes out.
-        decoder, start = make(), io.BytesIO()
+            out.append(_fed(decoder, data[at : at + _STEP], most - size))
+            size += len(out[-1])
+    except _FAILURES:
+        decoder, out, size = make(), [], 0
         try:
-            for k in range(len(data)):
-                start.write(decoder.decompress(data[k : k + 1]))
-        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+            for k in range(0, at, _STEP):
+                out.append(_fed(decoder, data[k : k + _STEP], most - size))
+                size += len(out[-1])
+            for k in range(at, min(at + _STEP, len(data))):
+                out.append(_fed(decoder, data[k : k + 1], most - size))
+                size += len(out[-1])
+        except _FAILURES:
             pass
-        return start.getvalue()[:MOST_OUTPUT]
-    return out.getvalue()[:MOST_OUTPUT]
+    return b"".join(out)
 
 
 def tar_entries(data: bytes) -> list[tuple[str, bytes]]:
@@ -127,6 +147,8 @@ def stream_rows(data: bytes, name: str, make: Callable[[], Any], whole: bool) ->
     out = inflate(make, data)
     if not out:
         return [_carve(0, f"{name} Raw Carve (fallback)", data)]
+    if len(out) >= MOST_OUTPUT:
+        name = f"{name} (first {MOST_OUTPUT >> 20} MB)"
     if len(out) > 262 and out[257:262] == b"ustar":
         entries = tar_entries(out)
         if entries:
@@ -260,6 +282,7 @@ class Stats(NamedTuple):
     resyncs: int = 0
     zeroed: int = 0
     tainted: int = 0
+    rejected: int = 0
 
 
 def _accepted(out: bytes) -> bool:
@@ -284,7 +307,7 @@ def lzma_tolerant(data: bytes) -> tuple[bytes, Stats]:
     out = try_lzma(data)
     if out is not None:
         return out, Stats(tainted=0 if byte_entropy(out) > 0.1 else len(out))
-    parts, resyncs, zeroed, tainted, at = [], 0, 0, 0, 0
+    parts, resyncs, zeroed, tainted, rejected, at = [], 0, 0, 0, 0, 0
     for _ in range(MOST_CHUNKS):
         if at >= len(data):
             break
@@ -297,14 +320,14 @@ def lzma_tolerant(data: bytes) -> tuple[bytes, Stats]:
             else:
                 pad = max(len(out), PROBE)
                 parts.append(bytes(pad))
-                zeroed, tainted, at = zeroed + pad, tainted + pad, at + 1
+                zeroed, tainted, rejected, at = zeroed + pad, tainted + pad, rejected + 1, at + 1
             continue
         skip, probe = resync(data[at:])
         gap = min(skip, PROBE)
         parts += [bytes(gap), probe]
         resyncs, zeroed, tainted = resyncs + 1, zeroed + gap, tainted + gap + len(probe)
         at += min(skip + 1, len(data) - at)
-    return b"".join(parts), Stats(resyncs, zeroed, tainted)
+    return b"".join(parts), Stats(resyncs, zeroed, tainted, rejected)
 
 
 def lzma_scan(data: bytes) -> tuple[bytes, Stats]:
@@ -330,7 +353,8 @@ def seven_rows(data: bytes) -> list[Row]:
     whole = inflate(lambda: lzma.LZMADecompressor(format=lzma.FORMAT_XZ), data) if data[:6] == b"\xfd7zXZ\0" else b""
     if whole:
         rows.append(_carve(1, "7z XZ Decode Carve", whole))
-    return [*rows, _carve(2, "7z Raw Carve", data, errors)]
+    rows.append(_carve(2, "7z Raw Carve", data, errors))
+    return [r._replace(resyncs=stats.resyncs, tainted=stats.tainted, zeroed=stats.zeroed, rejected=stats.rejected) for r in rows]
 
 
 def rows_of(kind: str, data: bytes) -> list[Row]:
@@ -360,7 +384,7 @@ def extract(blobs: DataFrame, key: str = "blob_id", kind: str = "archive_type")
             for i in range(batch.num_rows):
                 rows = rows_of(batch.column(1)[i].as_py(), batch.column(2)[i].as_py() or b"")
                 columns = list(zip(*rows)) if rows else [()] * len(Row._fields)
-                kinds = [pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
+                kinds = [pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary(), *[pa.int64()] * 4]
                 own = batch.column(0).take(pa.array([i] * len(rows), pa.int64()))
                 yield pa.RecordBatch.from_arrays([own, *[pa.array(list(c), t) for c, t in zip(columns, kinds)]], names=[key, *Row._fields])
 

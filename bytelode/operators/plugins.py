@@ -52,7 +52,7 @@ def error(name: Column, extension: Column, magic: Column, end_marker: Column) ->
 def template() -> list[dict]:
     """Two sample signatures."""
     return [
-        {"name": "AutoCAD Drawing", "extension": "dwg", "magic": "41433130", "offset": 0, "max_size": MAX_SIZE, "description": "drawing"},
+        {"name": "Lab Trace", "extension": "trc", "magic": "4C414254", "offset": 0, "max_size": MAX_SIZE, "description": "trace of a measurement"},
         {"name": "Sample", "extension": "smp", "magic": "DEADBEEF", "offset": 0, "max_size": 1 << 20, "end_marker": "CAFEBABE"},
     ]
 

@@ -42,6 +42,7 @@ def report(blobs: DataFrame, files: DataFrame, key: str = "blob_id") -> DataFram
         F.coalesce(F.round(F.when(F.sum("bytes") > 0, F.sum("w") / F.nullif(F.sum("bytes"), F.lit(0))).otherwise(F.sum("c") / F.sum("n")) * 1000) / 1000, F.lit(0.0)).alias("overall_confidence"),
         F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("order"), "file_type", F.col("n").alias("count"), F.col("bytes").alias("total_bytes")))).alias("types"))
     out = blobs.join(each, key, "left")
+    stats = [c for c in ("resyncs", "tainted", "zeroed", "rejected") if c in blobs.columns]
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
     return out.select(
         key, "archive_type", "method", "input_size", zero("files_salvaged"), zero("total_salvaged_bytes"), "crc_errors", "lzma_errors",
@@ -49,9 +50,25 @@ def report(blobs: DataFrame, files: DataFrame, key: str = "blob_id") -> DataFram
         salvage_rate(F.coalesce("total_salvaged_bytes", F.lit(0)).cast("double"), F.col("input_size").cast("double")).alias("salvage_rate_percent"),
         F.coalesce("overall_confidence", F.lit(0.0)).alias("overall_confidence"),
         F.coalesce(F.transform("types", lambda t: F.struct(t["file_type"].alias("file_type"), t["count"].alias("count"), t["total_bytes"].alias("total_bytes"))), F.array().cast("array<struct<file_type:string,count:bigint,total_bytes:bigint>>")).alias("type_breakdown"),
+        *stats,
     )
 
 
+_FILE = "index bigint, name string, file_type string, extension string, offset bigint, size bigint, sha256 string, confidence double"
+
+
+def with_files(reports: DataFrame, files: DataFrame, key: str = "blob_id") -> DataFrame:
+    """Reports with all their fields: `files` in order, total_files_found, bytes_recovered, and crc_errors and lzma_errors by their names in texts.
+
+    A blob's files (without their bytes) become one value, so this is for reports that are to be written out.
+    """
+    names = [f.split()[0] for f in _FILE.split(", ")]
+    listed = files.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*names))).alias("files"))
+    out = reports.join(listed, key, "left").withColumn("files", F.coalesce("files", F.array().cast("array<struct<" + ",".join(f.replace(" ", ":") for f in _FILE.split(", ")) + ">>")))
+    out = out.withColumnsRenamed({"crc_errors": "crc_errors_ignored", "lzma_errors": "lzma_errors_bypassed"})
+    return out.withColumn("total_files_found", F.col("files_salvaged")).withColumn("bytes_recovered", F.col("total_salvaged_bytes"))
+
+
 def supplement(parsed: DataFrame, carved: DataFrame, key: str = "blob_id") -> DataFrame:
     """Parsed files, and carved ones at offsets where none was parsed."""
     return parsed.unionByName(carved.join(parsed.select(key, "offset").distinct(), [key, "offset"], "left_anti"))

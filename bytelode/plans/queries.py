@@ -15,14 +15,15 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..dims import BACK_UP, CONTAINERS, MBR_NAMES, SIGNATURES, TYPES
 from ..functions import detect
 from ..functions.binary import cut
 from ..operators import carve, disk, extract, plugins, report, validate, windows
-from . import salvage
+from ..sources import files as sinks
+from . import images, salvage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -128,20 +129,18 @@ def entry_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ENTROPY_SQL = """WITH b AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS x FROM documents),
-k AS (SELECT doc_id, x, count(*) AS c FROM b GROUP BY ALL), s AS (SELECT doc_id, sum(c) OVER (PARTITION BY doc_id) AS n, c FROM k)
-SELECT doc_id, round(-sum(c / n * log2(c / n)), 6) AS entropy{} FROM s GROUP BY doc_id"""
+k AS (SELECT doc_id, x, count(*) AS c FROM b GROUP BY ALL), s AS (SELECT doc_id, sum(c) OVER (PARTITION BY doc_id) AS n, c FROM k),
+e AS (SELECT doc_id, -sum(c / n * log2(c / n)) AS h FROM s GROUP BY doc_id), a AS (SELECT doc_id, coalesce(h, 0.0) AS h FROM documents LEFT JOIN e USING (doc_id))"""
 
 
-@_add("byte_entropy", _ENTROPY_SQL.format(""))
+@_add("byte_entropy", f"{_ENTROPY_SQL} SELECT doc_id, round(h, 6) AS entropy FROM a")
 def byte_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").where("octet_length(text) > 0")
-    return docs.select("doc_id", F.round(detect.entropy(F.encode("text", "UTF-8")), 6).alias("entropy"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.round(detect.entropy(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), 6).alias("entropy"))
 
 
-@_add("entropy_class", _ENTROPY_SQL.format(", CASE WHEN -sum(c / n * log2(c / n)) < 1.5 THEN 'flat' WHEN -sum(c / n * log2(c / n)) > 7.85 THEN 'noise' ELSE 'valid' END AS class").replace("round(-sum(c / n * log2(c / n)), 6) AS entropy, ", ""))
+@_add("entropy_class", f"{_ENTROPY_SQL} SELECT doc_id, CASE WHEN h < 1.5 THEN 'flat' WHEN h > 7.85 THEN 'noise' ELSE 'valid' END AS class FROM a")
 def entropy_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").where("octet_length(text) > 0")
-    return docs.select("doc_id", detect.entropy_class(detect.entropy(F.encode("text", "UTF-8"))).alias("class"))
+    return _table(spark, sf_dir, "documents").select("doc_id", detect.entropy_class(detect.entropy(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).alias("class"))
 
 
 @_add("lzma_props", "SELECT p_partkey, p_partkey % 256 <= 224 AS valid, p_partkey % 256 % 45 % 9 AS lc, p_partkey % 256 % 45 // 9 AS lp, p_partkey % 256 // 45 AS pb FROM part")
@@ -207,9 +206,20 @@ def carve_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.explode(carve.regions(good, F.length("c"))).alias("r")).select("page_id", "r.offset", "r.kind", "r.size")
 
 
-@_add("carve_files", f"""{_CARVE_SQL} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY off) - 1 AS index,
-printf('carved_%04d.', row_number() OVER (PARTITION BY page_id ORDER BY off) - 1) || CASE kind {' '.join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in TYPES.items())} END AS name,
-{_LABELS.format('kind')} AS file_type, off AS offset, region AS size, sha256(unhex(h)) AS sha256, 0.55::DOUBLE AS confidence FROM z WHERE kind NOT IN ('gif', 'pdf', 'bmp', 'wav', 'avi', 'webp')""")
+#: Sizes of carved regions by kind, over the hex digits h and the number n of their bytes.
+_REFINED = {
+    "jpeg": f"{_finds('FFD9')} + 2", "png": f"least({_finds('49454E44')} + 8, n)", "pdf": f"least({_rfinds('2525454F46')} + 6, n)", "gif": f"{_rfinds('3B')} + 1",
+    "bmp": f"CASE WHEN {_le(2, 4)} BETWEEN 14 AND n THEN {_le(2, 4)} END",
+    "wav": f"CASE WHEN n >= 12 AND {_le(4, 4)} + 8 BETWEEN 12 AND n THEN {_le(4, 4)} + 8 END",
+    "zip": f"CASE WHEN {_rfinds('504B0506')} + 22 <= n THEN least({_rfinds('504B0506')} + 22 + {_le(_rfinds('504B0506') + ' + 20', 2)}, n) END",
+}
+_SIZE_SQL = "CASE " + " ".join(f"WHEN kind = '{k}' THEN {v}" for k, v in [*_REFINED.items(), ("avi", _REFINED["wav"]), ("webp", _REFINED["wav"])]) + " END"
+
+
+@_add("carve_files", f"""{_CARVE_SQL}, t AS (SELECT page_id, off, kind, region, region AS n, h FROM z),
+g AS (SELECT page_id, off, kind, region, h, coalesce({_SIZE_SQL}, n)::BIGINT AS size, row_number() OVER (PARTITION BY page_id ORDER BY off) - 1 AS index FROM t)
+SELECT page_id, index, printf('carved_%04d.', index) || CASE kind {' '.join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in TYPES.items())} END AS name, {_LABELS.format('kind')} AS file_type, off AS offset, size,
+sha256(unhex(substr(h, 1, 2 * size))) AS sha256, CASE WHEN size < region THEN 0.70 ELSE 0.55 END::DOUBLE AS confidence FROM g""")
 def carve_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: scan, back up, drop near hits, filter, cut, trim, hash and score, without a shuffle."""
     pages = _table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
@@ -234,14 +244,13 @@ def _refine_query(name: str, kind: str, frames: list[tuple[str, str]], sql: str)
         return _framed(spark, sf_dir, frames).select("doc_id", carve.refined_size(F.col("content"), F.lit(kind)).alias("size"))
 
 
-_refine_query("refine_jpeg", "jpeg", [("FFD8FFE0", "FFD90000"), ("FFD8FFE0", ""), ("FFD8FFD9", "FFD9")], f"{_finds('FFD9')} + 2")
-_refine_query("refine_png", "png", [("89504E470D0A1A0A", "49454E44AE42608200"), ("89504E470D0A1A0A", ""), ("89504E47", "49454E44")], f"least({_finds('49454E44')} + 8, n)")
-_refine_query("refine_pdf", "pdf", [(b"%PDF-1.4 %%EOF ".hex(), b"%%EOF\nrest".hex()), (b"%PDF-1.4".hex(), ""), (b"%PDF-".hex(), b"%%EOF".hex())], f"least({_rfinds('2525454F46')} + 6, n)")
-_refine_query("refine_gif", "gif", [(b"GIF89a".hex(), "3B00FF"), (b"GIF89a".hex(), ""), (b"GIF;".hex(), "")], f"{_rfinds('3B')} + 1")
-_refine_query("refine_bmp", "bmp", [("424DE8030000", ""), ("424D0D000000", ""), ("424D64000000", "")], f"CASE WHEN {_le(2, 4)} BETWEEN 14 AND n THEN {_le(2, 4)} END")
-_refine_query("refine_riff", "wav", [("52494646E803000057415645", ""), ("524946460100000057415645", ""), ("524946466400000057415645", "")], f"CASE WHEN n >= 12 AND {_le(4, 4)} + 8 BETWEEN 12 AND n THEN {_le(4, 4)} + 8 END")
-_refine_query("refine_zip", "zip", [("504B0304", "504B0506" + "00" * 16 + "0300" + "616263" + "FFFF"), ("504B0304", ""), ("504B0304", "504B0506" + "00" * 18)],
-              f"CASE WHEN {_rfinds('504B0506')} + 22 <= n THEN least({_rfinds('504B0506')} + 22 + {_le(_rfinds('504B0506') + ' + 20', 2)}, n) END")
+_refine_query("refine_jpeg", "jpeg", [("FFD8FFE0", "FFD90000"), ("FFD8FFE0", ""), ("FFD8FFD9", "FFD9")], _REFINED["jpeg"])
+_refine_query("refine_png", "png", [("89504E470D0A1A0A", "49454E44AE42608200"), ("89504E470D0A1A0A", ""), ("89504E47", "49454E44")], _REFINED["png"])
+_refine_query("refine_pdf", "pdf", [(b"%PDF-1.4 %%EOF ".hex(), b"%%EOF\nrest".hex()), (b"%PDF-1.4".hex(), ""), (b"%PDF-".hex(), b"%%EOF".hex())], _REFINED["pdf"])
+_refine_query("refine_gif", "gif", [(b"GIF89a".hex(), "3B00FF"), (b"GIF89a".hex(), ""), (b"GIF;".hex(), "")], _REFINED["gif"])
+_refine_query("refine_bmp", "bmp", [("424DE8030000", ""), ("424D0D000000", ""), ("424D64000000", "")], _REFINED["bmp"])
+_refine_query("refine_riff", "wav", [("52494646E803000057415645", ""), ("524946460100000057415645", ""), ("524946466400000057415645", "")], _REFINED["wav"])
+_refine_query("refine_zip", "zip", [("504B0304", "504B0506" + "00" * 16 + "0300" + "616263" + "FFFF"), ("504B0304", ""), ("504B0304", "504B0506" + "00" * 18)], _REFINED["zip"])
 
 
 # --- validation ------------------------------------------------------------------------------------------------
@@ -355,10 +364,19 @@ def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.report(blobs, kept, "source").select("source", "input_size", "files_salvaged", "total_salvaged_bytes", "corruption_bypassed", "salvage_rate_percent", "overall_confidence")
 
 
-@_add("report_json", "SELECT source, '{\"source\":\"' || source || '\",\"files\":' || count(*) || '}' AS json FROM documents GROUP BY source")
+@_add("report_json", f"""{_FILES_SQL}, f AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, * EXCLUDE (source) FROM t),
+k AS (SELECT source, lang, count(*) AS n, sum(size)::BIGINT AS b FROM f GROUP BY ALL), y AS (SELECT source, list({{'file_type': lang, 'count': n, 'total_bytes': b}} ORDER BY n DESC, lang) AS types FROM k GROUP BY source)
+SELECT source, to_json({{'input': source, 'input_size': sum(size)::BIGINT, 'archive_type': 'unknown', 'method': 'Raw Carve', 'files_salvaged': count(*), 'total_salvaged_bytes': sum(size)::BIGINT, 'corruption_bypassed': 3,
+'crc_errors_ignored': 1, 'lzma_errors_bypassed': 2, 'salvage_rate_percent': 100.0::DOUBLE, 'overall_confidence': round(sum(confidence::DOUBLE * size) / sum(size) * 1000) / 1000, 'salvage_time_secs': 0.0::DOUBLE, 'type_breakdown': any_value(types),
+'files': list({{'index': i, 'name': 'f' || doc_id, 'file_type': lang, 'extension': 'bin', 'offset': 0, 'size': size, 'sha256': sha, 'confidence': confidence::DOUBLE}} ORDER BY i)}})::VARCHAR AS json FROM f JOIN y USING (source) GROUP BY source""")
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = _table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("files"))
-    return counted.select("source", F.to_json(F.struct("source", "files")).alias("json"))
+    """The JSON of a report with its files, as the command line prints it."""
+    files = _files(spark, sf_dir)
+    blobs = files.groupBy("source").agg(F.sum("size").alias("input_size")).select("source", F.lit("unknown").alias("archive_type"), F.lit("Raw Carve").alias("method"), "input_size", F.lit(1).cast("bigint").alias("crc_errors"), F.lit(2).cast("bigint").alias("lzma_errors"))
+    kept = report.reindex(files, "source", "doc_id").select(
+        "source", "index", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("name"), F.col("lang").alias("file_type"), F.lit("bin").alias("extension"), F.lit(0).cast("bigint").alias("offset"),
+        "size", F.col("sha").alias("sha256"), F.col("confidence").cast("double").alias("confidence"))
+    return sinks.report_json(report.with_files(report.report(blobs, kept, "source"), kept, "source"), "source")
 
 
 @_add("rar_supplement", "WITH p AS (SELECT source, n_chars AS off, min(doc_id) AS doc_id FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL), c AS (SELECT source, n_chars AS off, doc_id FROM documents WHERE doc_id % 2 = 1) "
@@ -467,13 +485,75 @@ def byte_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.windows(blobs, 1000, 100, "doc_id").select("doc_id", "window", "start", F.sha2("content", 256).alias("sha256"))
 
 
-@_add("window_dedup", f"{_WINDOWS_SQL} SELECT doc_id, min(win) AS \"window\", sha256(unhex(substr(h, 1800 * win + 1, 128))) AS sha256, min(win * 900) AS \"offset\" FROM w WHERE 1800 * win < length(h) GROUP BY doc_id, sha256(unhex(substr(h, 1800 * win + 1, 128)))")
+@_add("window_dedup", f"{_WINDOWS_SQL}, d AS (SELECT doc_id, win, sha256(unhex(substr(h, 1800 * win + 1, 2000))) AS sha256 FROM w WHERE 1800 * win < length(h)) SELECT doc_id, min(win) AS \"window\", sha256, min(win * 900) AS \"offset\" FROM d GROUP BY doc_id, sha256")
 def window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut_out = windows.windows(_framed(spark, sf_dir, [("", "")]), 1000, 100, "doc_id").where(F.length("content") > 0)
-    files = cut_out.select("doc_id", "window", "start", F.lit(0).alias("index"), F.lit(0).cast("bigint").alias("offset"), F.sha2(cut(F.col("content"), 0, 64), 256).alias("sha256"))
+    files = cut_out.select("doc_id", "window", "start", F.lit(0).alias("index"), F.lit(0).cast("bigint").alias("offset"), F.sha2("content", 256).alias("sha256"))
     return windows.joined(files, "doc_id").select("doc_id", F.col("window").cast("bigint").alias("window"), "sha256", "offset")
 
 
+# --- whole plans over disk images and windows ------------------------------------------------------------------
+
+#: Each document, as hex digits (in which no signature can occur), behind a PDF of its own.
+_PDF_SQL = "(encode('%PDF-1.4 document ' || doc_id || chr(10) || 'xref startxref %%EOF' || chr(10)))"
+
+
+def _pdf() -> Column:
+    return F.encode(F.concat(F.lit("%PDF-1.4 document "), F.col("doc_id").cast("string"), F.lit("\nxref startxref %%EOF\n")), "UTF-8")
+
+
+def _padded(value: Column, size: int) -> Column:
+    return F.substring(F.concat(value, F.lit(bytes(size))), 1, size)
+
+
+_TABLE = bytes(446) + bytes([0, 0, 0, 0, 0x83, 0, 0, 0]) + (2).to_bytes(4, "little") + (4).to_bytes(4, "little") + bytes(48) + b"\x55\xaa"
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of six kinds by doc_id: with a PDF in the partition, before it, without a partition table, under 512 bytes, twice the same, and none."""
+    text, kind = F.encode(F.hex(F.encode("text", "UTF-8")), "UTF-8"), F.col("doc_id") % 6
+    table, blank = F.lit(_TABLE), F.lit(bytes(512))
+    content = (
+        F.when(kind == 0, F.concat(table, blank, _pdf(), text)).when(kind == 1, F.concat(table, _padded(_pdf(), 512), text)).when(kind == 2, F.concat(blank, _pdf(), text))
+        .when(kind == 3, _padded(_pdf(), 500)).when(kind == 4, F.concat(table, _padded(_pdf(), 512), _pdf(), text)).otherwise(F.concat(table, blank, text))
+    )
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), content.alias("content"))
+
+
+_PDF_FOUND = f"sha256({_PDF_SQL}) AS sha256, octet_length({_PDF_SQL}) AS size, round(0.80::DOUBLE, 2) AS confidence"
+
+
+@_add("disk_scan", f"SELECT doc_id AS image_id, CASE WHEN doc_id % 6 IN (0, 4) THEN 0 ELSE -1 END AS partition, CASE WHEN doc_id % 6 IN (0, 4) THEN 0 ELSE 512 END AS offset, {_PDF_FOUND} FROM documents WHERE doc_id % 6 IN (0, 1, 2, 4)")
+def disk_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, _ = images.disk_scan(_images(spark, sf_dir))
+    return files.select("image_id", "partition", "offset", "sha256", "size", F.round("confidence", 2).alias("confidence"))
+
+
+@_add("disk_report", f"SELECT doc_id AS image_id, CASE WHEN doc_id % 6 = 3 THEN 'too small' END AS error, CASE doc_id % 6 WHEN 2 THEN 'unknown' WHEN 3 THEN NULL ELSE 'mbr' END AS scheme, CASE WHEN doc_id % 6 IN (2, 3) THEN 0 ELSE 1 END AS partitions, "
+      "CASE WHEN doc_id % 6 IN (2, 3) OR doc_id % 6 IN (1, 5) AND octet_length(encode(text)) = 0 THEN 0 ELSE 1 END AS partition_reports, CASE doc_id % 6 WHEN 3 THEN 0 WHEN 5 THEN 0 WHEN 4 THEN 1 ELSE 1 END AS total_files, CASE WHEN doc_id % 6 IN (3, 5) THEN 0 ELSE 1 END AS whole_files FROM documents")
+def disk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, reports = images.disk_scan(_images(spark, sf_dir))
+    number = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).alias(c)
+    return reports.select("image_id", "error", "scheme", number("partitions"), number("partition_reports"), "total_files", F.coalesce("whole_report.files_salvaged", F.lit(0)).alias("whole_files"))
+
+
+def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("blob_id"), F.concat(F.when(F.col("doc_id") % 2 == 0, _pdf()).otherwise(F.lit(b"")), F.encode(F.hex(F.encode("text", "UTF-8")), "UTF-8")).alias("content"))
+
+
+@_add("stream_salvage", f"SELECT doc_id AS blob_id, 0 AS \"window\", 0 AS index, 0 AS offset, {_PDF_FOUND} FROM documents WHERE doc_id % 2 = 0")
+def stream_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, _ = images.stream_salvage(_streams(spark, sf_dir), 4096, 512)
+    return files.select("blob_id", "window", "index", "offset", "sha256", "size", F.round("confidence", 2).alias("confidence"))
+
+
+@_add("stream_report", f"WITH b AS (SELECT doc_id, octet_length({_PDF_SQL}) AS p, CASE WHEN doc_id % 2 = 0 THEN octet_length({_PDF_SQL}) ELSE 0 END + 2 * octet_length(encode(text)) AS n FROM documents) "
+      "SELECT doc_id AS blob_id, n AS input_size, CASE WHEN n = 0 THEN 0 WHEN n <= 4096 THEN 1 ELSE ceil(n / 3584)::BIGINT END AS windows_processed, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS files_salvaged, CASE WHEN doc_id % 2 = 0 THEN p ELSE 0 END AS bytes_recovered FROM b")
+def stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, reports = images.stream_salvage(_streams(spark, sf_dir), 4096, 512)
+    return reports.select("blob_id", "input_size", "windows_processed", "files_salvaged", "bytes_recovered")
+
+
 # --- plugins ---------------------------------------------------------------------------------------------------
 
 _PLUGIN_SQL = "['DEADBEEF', 'F', 'zz', '', ' 4142 ', repeat('41', 33)]"
@@ -519,7 +599,8 @@ def task_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events")
     now = events.agg(F.max("ts").alias("now"))
     nth = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    return events.join(F.broadcast(now)).withColumn("nth", nth).where("nth <= 10 and ts > now - interval 1 day").select("event_id", "user_id")
+    recent = events.join(F.broadcast(now)).where("ts > now - interval 1 day")  # the order is by time, so what goes here comes after all that stays
+    return recent.withColumn("nth", nth).where("nth <= 10").select("event_id", "user_id")
 
 
 @_add("task_admission", "SELECT user_id, count(*) FILTER (event_type = 'click') < 3 AS admitted FROM events GROUP BY user_id")
@@ -558,6 +639,23 @@ def _rar4(items: list[tuple[str, bytes]]) -> bytes:
     return out
 
 
+def _vint(value: int) -> bytes:
+    out = b""
+    while value > 127:
+        out, value = out + bytes([value & 127 | 128]), value >> 7
+    return out + bytes([value])
+
+
+def _rar5(items: list[tuple[str, bytes]]) -> bytes:
+    """Stored files in RAR 5 blocks, each header with a data size and the modification time that is always taken to be there."""
+    out = b"Rar!\x1a\x07\x01\x00"
+    for name, data in items:
+        raw = name.encode()
+        head = _vint(2) + _vint(2) + _vint(len(data)) + _vint(2) + _vint(len(data)) + _vint(0) + bytes(4) + _vint(0) + _vint(0) + _vint(len(raw)) + raw
+        out += bytes([1, 2, 3, 4]) + _vint(len(head)) + head + data
+    return out
+
+
 def _boxed(text: str, kind: str) -> bytes:
     """An archive of a kind around a text, as the decoders' input."""
     data = text.encode()
@@ -565,21 +663,21 @@ def _boxed(text: str, kind: str) -> bytes:
     items = [("docs/a.html", page), ("docs/b.txt", data)]
     if kind == "zip":
         return _zip(items)
-    if kind == "rar":
-        return _rar4(items)
+    if kind in ("rar", "rar5"):
+        return _rar4(items) if kind == "rar" else _rar5(items)
     if kind == "7z":
         return b"7z\xbc\xaf\x27\x1c" + bytes(26) + lzma.compress(page, format=lzma.FORMAT_ALONE)
     body = _tar(items) if kind == "tar" else page
     return {"gzip": gzip.compress, "bzip2": bz2.compress, "xz": lambda b: lzma.compress(b, format=lzma.FORMAT_XZ), "tar": gzip.compress}[kind](body)
 
 
-def _archives(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """blob_id and content: every document boxed as an archive; each fifth one is cut at three quarters."""
+def _archives(spark: SparkSession, sf_dir: str, kind: str, damaged: bool = True) -> DataFrame:
+    """blob_id and content: every document boxed as an archive; with `damaged` each fifth one is cut at three quarters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [_boxed(t or "", kind) for t in batch.column(1).to_pylist()]
-            made = [m[: len(m) * 3 // 4] if (i or 0) % 5 == 0 else m for i, m in zip(batch.column(0).to_pylist(), made)]
+            made = [m[: len(m) * 3 // 4] if damaged and (i or 0) % 5 == 0 else m for i, m in zip(batch.column(0).to_pylist(), made)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["blob_id", "content"])
 
     return _table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "blob_id bigint, content binary")
@@ -588,19 +686,57 @@ def _archives(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 def _extract_query(kind: str) -> None:
     @_add(f"{kind}_extract")
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        files, _ = salvage.recover(_archives(spark, sf_dir, kind))
-        return files.drop("data")
+        return salvage.recover(_archives(spark, sf_dir, kind), data=False)[0]
 
 
 for _k in ("zip", "gzip", "bzip2", "xz", "tar", "rar", "7z"):
     _extract_query(_k)
 
+#: What went into each undamaged archive is what comes out. Documents hold no signature of their own, so a page is carved where it begins.
+_BOXED_SQL = "WITH p AS (SELECT doc_id, encode('<html>') || encode(text) || encode('</html>' || repeat(' ', 32)) AS page, encode(text) AS body FROM documents), b AS (SELECT doc_id AS blob_id, 0 AS index, 'docs/a.html' AS name, page AS data FROM p UNION ALL SELECT doc_id, 1, 'docs/b.txt', body FROM p)"
+_ONE_SQL = "SELECT blob_id, index, {} AS name, octet_length(data) AS size, sha256(data) AS sha256, {}::DOUBLE AS confidence FROM b"
+
+
+def _whole_query(kind: str, sql: str) -> None:
+    @_add(f"{kind}_whole", f"{_BOXED_SQL} {sql}")
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        files, _ = salvage.recover(_archives(spark, sf_dir, kind, damaged=False), data=False)
+        return files.select("blob_id", "index", "name", "size", "sha256", "confidence")
+
+
+_whole_query("zip", _ONE_SQL.format("name", 0.95))
+_whole_query("tar", _ONE_SQL.format("name", 0.90) + " WHERE octet_length(data) > 0")
+
+def _vint_sql(n: str) -> str:
+    return f"CASE WHEN {n} < 128 THEN printf('%02X', {n}) WHEN {n} < 16384 THEN printf('%02X%02X', {n} % 128 + 128, {n} // 128) ELSE printf('%02X%02X%02X', {n} % 128 + 128, {n} // 128 % 128 + 128, {n} // 16384) END"
+
+
+def _rar_sql(head: str, confidence: float) -> str:
+    """Stored files over 32 bytes, and what is carved besides: the archive's own start, up to the first page."""
+    name = b"docs/a.html".hex().upper()
+    carved = f"SELECT blob_id, (SELECT count(*) FROM b AS o WHERE o.blob_id = b.blob_id AND octet_length(o.data) > 32) AS index, 'carved_0000.rar' AS name, unhex({head} || '{name}') AS data FROM (SELECT *, octet_length(data) AS n FROM b) AS b WHERE index = 0"
+    return f", h AS ({carved}) {_ONE_SQL.format('name', confidence)} WHERE octet_length(data) > 32 UNION ALL SELECT blob_id, index, name, octet_length(data), sha256(data), 0.55::DOUBLE FROM h"
+
+
+_LE32_SQL = "substr(printf('%08X', n), 7, 2) || substr(printf('%08X', n), 5, 2) || substr(printf('%08X', n), 3, 2) || substr(printf('%08X', n), 1, 2)"
+_whole_query("rar", _rar_sql(f"'526172211A0700' || '00007400802B00' || {_LE32_SQL} || '{'00' * 15}0B0000000000'", 0.55))
+_whole_query("rar5", _rar_sql(f"'526172211A070100' || '01020304' || printf('%02X', 22 + length({_vint_sql('n')})) || '0202' || {_vint_sql('n')} || '02' || {_vint_sql('n')} || '{'00' * 7}0B'", 0.60))
+for _k in ("gzip", "bzip2", "xz"):
+    _whole_query(_k, _ONE_SQL.format("'carved_0000.html'", 0.55) + " WHERE index = 0")
+
+
+@_add("salvage_whole", f"{_BOXED_SQL}, k AS (SELECT blob_id, count(*) AS n, sum(octet_length(data))::BIGINT AS bytes FROM b GROUP BY blob_id) SELECT blob_id, 'zip' AS archive_type, 'ZIP Fail-Forward' AS method, n AS files_salvaged, bytes AS total_salvaged_bytes, 0 AS corruption_bypassed, 0.95::DOUBLE AS overall_confidence FROM k")
+def salvage_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of undamaged archives."""
+    reports = salvage.recover(_archives(spark, sf_dir, "zip", damaged=False), data=False)[1]
+    return reports.select("blob_id", "archive_type", "method", "files_salvaged", "total_salvaged_bytes", "corruption_bypassed", "overall_confidence")
+
 
 @_add("salvage_report")
 def salvage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of pages recovered as raw blobs by the whole plan."""
     blobs = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("blob_id"), F.encode("html", "UTF-8").alias("content"))
-    return salvage.recover(blobs)[1]
+    return salvage.recover(blobs, data=False)[1]
 
 
 @_add("lzma_decode")

@@ -22,7 +22,7 @@ def blobs(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
 def arriving(spark: SparkSession, path: str) -> DataFrame:
     """The same as a stream of files that arrive in a directory."""
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(path)
-    return raw.select(F.col("path").alias("blob_id"), "path", "length", "content")
+    return raw.select(F.col("path").alias("blob_id"), "path", "length", "content", "modificationTime")
 
 
 class _Chunk(InputPartition):
@@ -106,6 +106,34 @@ def zipped(files: DataFrame, key: str = "blob_id") -> DataFrame:
     return kept.groupBy(key).applyInPandas(pack, f"{key} {kept.schema[0].dataType.simpleString()}, zip binary")
 
 
+#: Fixed values. Keys of a report's JSON, in order, and of what a service adds.
+KEYS = [
+    "input_size", "archive_type", "method", "files_salvaged", "total_salvaged_bytes", "corruption_bypassed", "crc_errors_ignored", "lzma_errors_bypassed",
+    "salvage_rate_percent", "overall_confidence", "salvage_time_secs", "type_breakdown", "files",
+]
+STATS = {"resync_count": "resyncs", "bytes_tainted": "tainted", "bytes_zeroed": "zeroed", "entropy_rejections": "rejected"}
+
+
+def report_json(reports: DataFrame, key: str = "blob_id", seconds: Column | float = 0.0, url: Column | None = None) -> DataFrame:
+    """key and `json` of reports with files (`report.with_files`): `input` and KEYS; with `url` also the decoder's stats and a download_url.
+
+    A blob's share of a distributed job has no time of its own, so salvage_time_secs is what the caller gives.
+    """
+    rows = reports.withColumn("salvage_time_secs", seconds if isinstance(seconds, Column) else F.lit(float(seconds)))
+    more = []
+    if url is not None:
+        more = [F.struct(*[F.col(c).alias(n) for n, c in STATS.items()]).alias("zombie_stats"), url.alias("download_url")]
+    return rows.select(key, F.to_json(F.struct(F.col(key).cast("string").alias("input"), *KEYS, *more)).alias("json"))
+
+
+def report_text(reports: DataFrame, key: str = "blob_id") -> DataFrame:
+    """key and a few lines of text about each report."""
+    types = F.array_join(F.transform("type_breakdown", lambda t: F.format_string("  %s: %d files, %d bytes", t["file_type"], t["count"], t["total_bytes"])), "\n")
+    head = F.format_string("%s: %s, %d bytes, by %s\n%d files, %d bytes, %.1f%% of the input, confidence %.3f, %d errors passed over\n",
+                           F.col(key).cast("string"), "archive_type", "input_size", "method", "files_salvaged", "total_salvaged_bytes", "salvage_rate_percent", "overall_confidence", "corruption_bypassed")
+    return reports.select(key, F.concat(head, types).alias("text"))
+
+
 def as_json(reports: DataFrame) -> DataFrame:
     """Each report as a JSON text."""
     return reports.select(F.to_json(F.struct(*reports.columns)).alias("json"))

@@ -9,9 +9,14 @@ from pyspark.sql.streaming import StreamingQuery
 from ..plans import salvage
 
 
-def carve_arrivals(blobs: DataFrame, output: str, checkpoint: str, key: str = "blob_id") -> StreamingQuery:
-    """Appends the files recovered from arriving blobs to Parquet; a blob's bytes are recovered once."""
-    once = blobs.withColumn("digest", F.sha2("content", 256)).dropDuplicates(["digest"]).drop("digest")
+def carve_arrivals(blobs: DataFrame, output: str, checkpoint: str, key: str = "blob_id", remembered: str = "30 days") -> StreamingQuery:
+    """Appends the files recovered from arriving blobs to Parquet; a blob's bytes are recovered once.
+
+    Digests are remembered for as long as `remembered` by the blobs' modificationTime, so the
+    state does not grow for ever; bytes that come again later are recovered again.
+    """
+    digested = blobs.withColumn("digest", F.sha2("content", 256)).withWatermark("modificationTime", remembered)
+    once = digested.dropDuplicatesWithinWatermark(["digest"]).drop("digest")
 
     def run(batch: DataFrame, number: int) -> None:
         files, _ = salvage.recover(batch.select(key, "content"), key)
