@@ -222,17 +222,21 @@ def similar_edges(docs: DataFrame, classes: DataFrame, words: int = 5, similarit
 
     Two bits of a SimHash are too few for texts of this similarity, so a pair is a
     candidate if it shares any of BANDS keys of least hashes. Sketches set aside pairs that
-    cannot be alike; the rest are compared by their whole texts. First come stars from the
-    least id of each key, which connect most of a large group of near copies, then the
+    cannot be alike; the rest are compared by their whole texts. First come stars, from
+    that member of each key which shares keys with the most others: among copies of one
+    text, which may be far from each other, that is the text they are near to. Then come the
     pairs that the stars have left apart. Where a key leaves more than APART members
     outside its largest group, these are dealt by further keys (two bands at once) before
     they are paired: a pair alike by the similarity shares about ten bands.
     """
     rows = classes.select("id", "n", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("members")).where("members > 1")
-    met = durable(rows.join(shared.select("key", "first"), "key").select("key", "id", "n", F.col("first.id").alias("a"), F.col("first.n").alias("n_a")))
+    shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    held = durable(rows.join(shared, "key"))
+    weight = held.groupBy("id").agg(F.sum("members").alias("weight"))
+    first = held.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("order"), "id", "n")).alias("first"))
+    met = durable(held.join(first, "key").select("key", "id", "n", F.col("first.id").alias("a"), F.col("first.n").alias("n_a")))
     near = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
-    tried = durable(met.where("id <> a").where(near("n", "n_a")).select("a", F.col("id").alias("b")).distinct())
+    tried = durable(met.where("id <> a").where(near("n", "n_a")).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
     stars = alike(tried, classes, docs, words, similarity)
     grouped = met.join(components(stars).withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
     # By key: the groups, the largest of them, and how many members lie outside it.
