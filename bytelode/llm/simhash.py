@@ -30,8 +30,8 @@ RADIUS = 2
 SEED = 42
 #: Bands of so many least hashes each: a pair alike by 0.8 meets in none with a chance of (1 - 0.8^5)^32 = 3 in a million.
 BANDS, ROWS = 32, 5
-#: Beyond so many members outside a key's largest group these are dealt by two bands at once.
-APART = 256
+#: Up to so many members of a key outside its largest group are paired with all its members, so pairs stay within so many times the members; more go by rare shingles.
+APART = 8
 #: Up to so many wanted texts (some 60 bytes each) their names are sent to all tasks.
 SENT = 200_000
 
@@ -195,6 +195,14 @@ def likely(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
+def wanted_texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """id and text of each wanted class, read once more from the first row of the class."""
+    named = durable(classes.join(wanted, "id", "left_semi").select("id", "digest", F.col("doc_id").alias("first_id")))
+    few = named.count() <= SENT  # then the texts stay where they are
+    there = _texts(docs).join(F.broadcast(named) if few else named, "digest").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    return durable(there.dropDuplicates(["id"]).select("id", "text"))
+
+
 def alike(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of classes whose whole texts have the similarity."""
 
@@ -208,15 +216,42 @@ def alike(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, sim
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = durable(likely(pairs, classes, similarity))
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    named = durable(classes.join(wanted, "id", "left_semi").select("id", "digest", F.col("doc_id").alias("first_id")))
-    few = named.count() <= SENT  # then the texts stay where they are
-    there = _texts(docs).join(F.broadcast(named) if few else named, "digest").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
-    there = durable(there.dropDuplicates(["id"]).select("id", "text"))
+    there = wanted_texts(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), classes, docs)
     both = pairs.join(there.select(F.col("id").alias("a"), "text"), "a").join(there.select(F.col("id").alias("b"), F.col("text").alias("other")), "b")
     return durable(both.select("a", "b", "text", "other").mapInArrow(run, "a long, b long"))
 
 
+def rare_pairs(held: DataFrame, classes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of classes that may have the similarity: all that have it, of different roots, at least one outside.
+
+    `held`: id, root, outside. The shingles of these classes are put in one order, rare ones
+    first. Of two sets with the similarity, each has a shingle both share among its first
+    n - ceil(similarity * n) + 1, and behind the first such one at least as many shingles must
+    be left as both have to share. So copies that strayed from a common text each in its own way,
+    however many, meet on nothing, though each of them shares most with most others.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_chunks(batches):
+            found = [shingle_hashes(t, words).astype(np.int64) for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    texts = wanted_texts(held.select("id"), classes, docs)
+    sets = durable(texts.select("id", "text").mapInArrow(run, "id long, shingles array<long>"))
+    each = sets.select("id", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")  # what only one class has comes first, and meets nothing
+    met = each.join(often, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("met"))
+    alone = F.col("n") - F.size("met")
+    reach = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-6) + 1
+    first = met.join(sets.select("id", F.size("shingles").alias("n")), "id").join(held, "id")
+    first = first.select("id", "n", "root", "outside", alone.alias("alone"), F.posexplode(F.slice("met", F.lit(1), F.greatest(reach - alone, F.lit(0)).cast("int"))).alias("nth", "at"))
+    first = durable(first.select("id", "n", "root", "outside", (F.col("n") - F.col("alone") - F.col("nth")).alias("rest"), "at.shingle"))
+    x = first.where("outside").select("shingle", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"), F.col("rest").alias("rest_x"))
+    enough = F.least("rest", "rest_x") >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("n_x")) - 1e-6
+    found = x.join(first, (x["shingle"] == first["shingle"]) & (F.col("root") != F.col("root_x")) & enough)
+    return durable(found.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct())
+
+
 def similar_edges(docs: DataFrame, classes: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Verified links (a, b) between classes that connect these as all links would.
 
@@ -225,9 +260,8 @@ def similar_edges(docs: DataFrame, classes: DataFrame, words: int = 5, similarit
     cannot be alike; the rest are compared by their whole texts. First come stars, from
     that member of each key which shares keys with the most others: among copies of one
     text, which may be far from each other, that is the text they are near to. Then come the
-    pairs that the stars have left apart. Where a key leaves more than APART members
-    outside its largest group, these are dealt by further keys (two bands at once) before
-    they are paired: a pair alike by the similarity shares about ten bands.
+    pairs that the stars have left apart: as they are where a key leaves few members outside
+    its largest group, by their rare shingles where it leaves many.
     """
     rows = classes.select("id", "n", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
@@ -242,15 +276,13 @@ def similar_edges(docs: DataFrame, classes: DataFrame, words: int = 5, similarit
     # By key: the groups, the largest of them, and how many members lie outside it.
     sizes = grouped.groupBy("key", "root").agg(F.count("*").alias("size"))
     keys = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("most"), F.sum("size").alias("members")).where("members > most.size")
-    apart = durable(grouped.join(keys, "key").select("key", "id", "n", "root", (F.col("root") != F.col("most.root")).alias("outside"), (F.col("members") - F.col("most.size") > APART).alias("many")))
-    few, many = apart.where("not many"), apart.where("many")
-    again = many.join(classes.select("id", F.explode("keys").alias("other")), "id").where("key <> other")
-    again = again.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id", "n", "root", F.lit(True).alias("outside")).distinct()
-    parts = few.drop("many").unionByName(again)
-    outside = parts.where("outside").select("key", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"))
-    found = outside.join(parts, "key").where(F.col("root") != F.col("root_x")).where(near("n", "n_x"))
-    found = found.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    return stars.unionByName(alike(found, classes, docs, words, similarity))
+    apart = grouped.join(keys, "key").select("key", "id", "n", "root", (F.col("root") != F.col("most.root")).alias("outside"), (F.col("members") - F.col("most.size") > APART).alias("many"))
+    apart = durable(apart)
+    few, many = apart.where("not many"), apart.where("many").groupBy("id", "root").agg(F.max("outside").alias("outside"))
+    outside = few.where("outside").select("key", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"))
+    found = outside.join(few, "key").where(F.col("root") != F.col("root_x")).where(near("n", "n_x"))
+    found = found.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).unionByName(rare_pairs(many, classes, docs, words, similarity))
+    return stars.unionByName(alike(found.distinct().join(tried, ["a", "b"], "left_anti"), classes, docs, words, similarity))
 
 
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
