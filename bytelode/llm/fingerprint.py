@@ -16,7 +16,8 @@ Sums of vectors are fingerprints of joined documents: `combine` inserts paragrap
 similarity of two documents' word pairs, from their fingerprints alone.
 
 Documents and their neighbours meet by one shuffle over ranges of doc_id; the ranges are
-at most `RANGES`, so the table of their ends that goes to all tasks is bounded.
+at most `RANGES`, so the table of their ends that goes to all tasks is bounded. They hold
+about equally many ids, whatever lies between these: their ends are ids picked by a hash.
 
 Defined results: null text is empty text; two texts without words are alike (1). Rows
 that share a doc_id follow each other in the order of their texts' hashes; a null
@@ -40,6 +41,8 @@ LEVELS = 9
 SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 RANGES = 65_536
 ROWS_A_RANGE = 512
+#: So many picked ids make up a range.
+PICKED = 8
 
 
 def units(text: Column) -> Column:
@@ -132,6 +135,29 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return summed(rows.select("row", "doc_id", F.explode_outer(units(F.col("text"))).alias("u")), ["row", "doc_id"]).select("doc_id", "fingerprint")
 
 
+def range_ends(docs: DataFrame) -> list[int]:
+    """Fewer than RANGES doc_ids, ascending, that part the ids into ranges of about equally many."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    n = ids.count()
+    ranges = max(1, min(RANGES, n // ROWS_A_RANGE))
+    if ranges == 1:
+        return []
+    # At most about RANGES x PICKED ids meet in one task, and one of PICKED comes here.
+    picked = ids.where("doc_id is not null").where(F.expr(f"pmod(xxhash64(doc_id), {max(1, n // ranges // PICKED)}) = 0")).distinct()
+    ends = picked.agg(F.filter(F.sort_array(F.collect_list("doc_id")), lambda x, i: i % PICKED == PICKED - 1).alias("ends")).first()["ends"]
+    return list(ends)[: RANGES - 1]
+
+
+def place_among(ends: list[int], value: Column) -> Column:
+    """How many of the ascending ends are not above the value (null: 0), by halving."""
+    if not ends:
+        return F.lit(0).cast("long")
+    listed = F.split(F.lit(",".join(map(str, ends))), ",").cast("array<long>")
+    steps = F.array(*[F.lit(1 << k) for k in range(len(ends).bit_length() - 1, -1, -1)])
+    further = lambda at, step: F.when(F.get(listed, at + step - 1) <= value, at + step).otherwise(at)  # noqa: E731  beyond the list there is null
+    return F.aggregate(steps, F.lit(0), further).cast("long")
+
+
 def with_neighbours(docs: DataFrame) -> DataFrame:
     """bucket, place (in descending doc_id), doc_id, text and the next document's text; guest rows close each bucket.
 
@@ -140,14 +166,7 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     therefore sent to that bucket too, as a guest.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n, low, high = docs.select(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    ranges = max(1, min(RANGES, n // ROWS_A_RANGE))
-    width = -(-(high - low + 1) // ranges)
-    bucket = F.coalesce(F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("long"), F.lit(0).cast("long"))
-    if abs(low) < 2**62 and abs(high) < 2**62:  # plain long arithmetic cannot overflow
-        bucket = F.coalesce(F.expr(f"(doc_id - {low}L) div {width}L"), F.lit(0).cast("long"))
-    rows = rows.withColumn("bucket", bucket)
+    rows = rows.withColumn("bucket", place_among(range_ends(docs), F.col("doc_id")))
     # At most RANGES rows.
     tops = rows.groupBy("bucket").agg(F.max("doc_id").alias("top")).orderBy("bucket").collect()
     told = [(tops[i]["top"], tops[(i + 1) % len(tops)]["bucket"]) for i in range(len(tops))]

@@ -191,6 +191,17 @@ def test_fingerprint_likeness_of_long_and_tabbed_texts(spark):
     assert got[6] == 1  # no words
 
 
+def test_fingerprint_ranges_whatever_the_ids(spark):
+    """Dense ids, a far one and a null: ranges stay even, and each row meets the next document."""
+    ids = [*range(4000), 4 * 10**12, -5, None]
+    frame = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    rows = fingerprint.with_neighbours(frame).where("not guest").collect()
+    order = [*sorted((i for i in ids if i is not None), reverse=True), None]
+    following = dict(zip(order, [f"text {i}" for i in [*order[1:], order[0]]]))
+    assert {r["doc_id"]: r["next"] for r in rows} == following and len(rows) == len(ids)
+    assert max(Counter(r["bucket"] for r in rows).values()) < len(ids) / 2
+
+
 # 5
 def brute_fingerprint(text):
     import xxhash
