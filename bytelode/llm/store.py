@@ -49,9 +49,9 @@ def forget(df: DataFrame) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lets Spark hand Python workers no more than some MB at once, unless the session says otherwise."""
+    """Lets Spark hand Python workers no more than 4 MB at once (or one row), unless the session says otherwise."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1))) >= 2**31 - 1:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
@@ -86,7 +86,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def in_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """Splits Arrow batches so that each holds about `chars` bytes of text (a longer text stands alone)."""
+    """Splits Arrow batches so that each holds about `chars` bytes of text (a longer text stands alone).
+
+    At the end it gives back what Arrow's allocator keeps, since workers outlive tasks.
+    """
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_pylist()
         begin = total = 0
@@ -97,6 +100,7 @@ def in_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int
             total += size
         if begin < len(sizes):
             yield batch.slice(begin)
+    pa.default_memory_pool().release_unused()
 
 
 def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[str]:

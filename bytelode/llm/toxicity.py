@@ -42,7 +42,7 @@ WORD = re.compile(r"[^\W\d_]+")
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
-@functools.lru_cache(1 << 18)
+@functools.lru_cache(1 << 16)  # some 25 MB, kept by the worker process
 def word_buckets(word: str) -> tuple[int, ...]:
     """Buckets of a word and of its beginning."""
     own = zlib.crc32(word.encode()) % BUCKETS
