@@ -30,8 +30,8 @@ from . import pretoken
 from .store import bounded_batches, in_chunks, texts_of
 
 LONG = 256
-#: Some 40 MB, kept by the worker process.
-CACHE_ENTRIES = 150_000
+#: Some 100 MB, kept by the worker process.
+CACHE_ENTRIES = 400_000
 NEVER = np.int64(1) << 62
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
