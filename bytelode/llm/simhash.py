@@ -16,7 +16,9 @@ are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,13 @@ from .store import bounded_batches, durable, forget, in_chunks, texts_of
 BITS = 64
 RADIUS = 2
 SEED = 42
-#: Bands of so many least hashes each: a pair alike by 0.8 meets in none with a chance of (1 - 0.8^5)^32 = 3 in a million.
-BANDS, ROWS = 32, 5
-#: Up to so many members of a key outside its largest group are paired with all its members, so pairs stay within so many times the members; more go by rare shingles.
+#: Bits of the long print from which tables take theirs, bits of a table's ball, and the chance that a pair of the similarity may be missed by all tables.
+LONG, BALL, MISSED = 2048, 26, 3e-6
+#: Cells hold about two to this power rows, so that their variants fit into a worker.
+CELL = 14
+#: Tables by which rows are weighed, and the most shingles of sets that also meet by leaving one out.
+WEIGHED, TINY = 16, 5
+#: Up to so many rows of a variant outside its largest group are paired with all its rows, so pairs stay within so many times the rows; more go by rare shingles.
 APART = 8
 #: Up to so many wanted texts (some 60 bytes each) their names are sent to all tasks.
 SENT = 200_000
@@ -140,39 +146,41 @@ def shingle_hashes(text: str, words: int, seed: int = SEED) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), last.tolist())), np.uint64, n))
 
 
-def least_hashes(hashes: np.ndarray) -> np.ndarray:
-    """BANDS rows of ROWS least hashes (MinHash) of a set that is not empty; two sets agree in each with the chance of their similarity."""
-    rng = np.random.default_rng(SEED)
-    flip, times = rng.integers(0, 1 << 32, (2, BANDS * ROWS), np.uint32)
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
-    return np.array([((short ^ f) * t).min() for f, t in zip(flip, times | np.uint32(1))], "<u4").reshape(BANDS, ROWS)
+def long_print(hashes: np.ndarray) -> bytes:
+    """SimHash of LONG bits of a set of hashes that is not empty."""
+    ones = np.zeros(LONG, np.int64)
+    for k in range(0, len(hashes), 255):  # so many rows sum up in a byte
+        x = hashes[k : k + 255, None] + np.arange(1, LONG // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.astype("<u8", copy=False).view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes)).tobytes()
+
+
+def left_one_out(hashes: np.ndarray) -> np.ndarray:
+    """The sum of a set of at most TINY hashes, then the sums without one of them: what the ball of a set so small consists of. Of larger sets nothing."""
+    return np.concatenate([[hashes.sum()], hashes.sum() - hashes]).astype(np.int64) if 0 < len(hashes) <= TINY else np.zeros(0, np.int64)
 
 
 def text_classes(docs: DataFrame, words: int = 5) -> DataFrame:
-    """One row for each distinct text: id, digest (128 bits), unnamed and doc_id (of its first row), n (shingles), keys (of bands) and sketch.
+    """One row for each distinct text: id, digest (128 bits), unnamed and doc_id (of its first row), n (shingles), print (LONG bits) and sums (of small sets).
 
-    The first row has the least doc_id; rows without one come last. A text without words has no keys.
+    The first row has the least doc_id; rows without one come last. A text without words has an empty print.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in in_chunks(batches):
-            n, keys, sketch = [], [], []
-            for text in texts_of(batch):
-                own = shingle_hashes(text, words)
-                least = least_hashes(own) if len(own) else np.zeros((0, ROWS), "<u4")
-                n.append(len(own))
-                keys.append(np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least)], np.uint64).astype(np.int64))
-                sketch.append((least & 255).astype(np.uint8).tobytes())
-            columns = [pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "digest", "n", "keys", "sketch"])
+            sets = [shingle_hashes(text, words) for text in texts_of(batch)]
+            prints = [long_print(own) if len(own) else b"" for own in sets]
+            columns = [pa.array(map(len, sets), pa.int64()), pa.array(prints, pa.binary()), pa.array(map(left_one_out, sets), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "digest", "n", "print", "sums"])
 
     bounded_batches(docs.sparkSession)
-    hashed = _texts(docs).mapInArrow(run, "doc_id long, digest string, n long, keys array<long>, sketch binary")
+    hashed = _texts(docs).mapInArrow(run, "doc_id long, digest string, n long, print binary, sums array<long>")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")).alias("first")
-    grouped = hashed.groupBy("digest").agg(first, *[F.any_value(c).alias(c) for c in ("n", "keys", "sketch")])
-    return durable(grouped.select(F.monotonically_increasing_id().alias("id"), "digest", "first.unnamed", "first.doc_id", "n", "keys", "sketch"))
+    grouped = hashed.groupBy("digest").agg(first, *[F.any_value(c).alias(c) for c in ("n", "print", "sums")])
+    return durable(grouped.select(F.monotonically_increasing_id().alias("id"), "digest", "first.unnamed", "first.doc_id", "n", "print", "sums"))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -180,19 +188,134 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.encode(text, "UTF-8")).alias("digest"), text.alias("text"))
 
 
+def missed(tables: int, exact: int, similarity: float) -> float:
+    """The chance that a pair of the similarity lies within no ball of so many tables: sums over how many of the LONG bits differ."""
+    flips = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    d = np.arange(LONG + 1)
+    logs = np.concatenate([[0], np.cumsum(np.log(np.arange(1, LONG + 1)))])
+    chance = np.exp(logs[LONG] - logs - logs[::-1] + d * np.log(flips) + (LONG - d) * np.log1p(-flips))
+    p, q = d / LONG, 1 - d / LONG
+    found = q**exact * sum(math.comb(BALL, k) * p**k * q ** (BALL - k) for k in range(RADIUS + 1))
+    return float((chance * (1 - found) ** tables).sum())
+
+
+def table_bits(classes: int, similarity: float) -> np.ndarray:
+    """Which bits of the long print make each table's fingerprint: first its exact part, which grows with the classes, then BALL bits.
+
+    So many tables that a pair of the similarity is missed by all with a chance of MISSED at most.
+    """
+    exact = max(2, max(classes, 1).bit_length() - CELL)
+    tables = next(t for t in itertools.count(8, 4) if missed(t, exact, similarity) <= MISSED)
+    rng, each = np.random.default_rng(SEED), LONG // (exact + BALL)
+    return np.concatenate([rng.permutation(LONG)[: each * (exact + BALL)].reshape(each, -1) for _ in range(-(-tables // each))])[:tables]
+
+
+def table_prints(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """cell (table and exact part), ball (BALL bits), id and value of every row (id, print, value) and every table."""
+    exact = bits.shape[1] - BALL
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = np.int64(1) << np.arange(bits.shape[1], dtype=np.int64)
+        first = np.arange(len(bits), dtype=np.int64) << exact
+        for batch in batches:
+            for k in range(0, batch.num_rows, 128):
+                part = batch.slice(k, 128)
+                long = np.unpackbits(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, LONG // 8), axis=1)
+                found = long[:, bits] @ powers
+                cell, ball = first + (found & (1 << exact) - 1), found >> exact
+                own, value = (np.repeat(part.column(i).to_numpy(zero_copy_only=False), len(bits)) for i in (0, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(cell.ravel().astype(np.int32)), pa.array(ball.ravel().astype(np.int32)), pa.array(own), pa.array(value)], names=["cell", "ball", "id", "value"])
+
+    return rows.select("id", "print", "value").mapInArrow(run, "cell int, ball int, id long, value long")
+
+
+def balls(prints: DataFrame, meet: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple], schema: str) -> DataFrame:
+    """What `meet` makes of the rows of `prints` that meet, each within half the radius of a variant.
+
+    Rows are dealt by cell, and only then does each emit the BALL + 1 fingerprints within half
+    the radius, so that a cell's variants are all in one place and none is shuffled. `meet`
+    gets the number of the variant, the id and the value of rows ordered by variant, of
+    variants with two rows or more.
+    """
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def variants(cell, ball, own, value):
+        near = np.concatenate([[0], np.int64(1) << np.arange(BALL, dtype=np.int64)])
+        key = ((cell << BALL)[:, None] | (ball[:, None] ^ near)).ravel()
+        order = np.argsort(key)
+        key = key[order]
+        same = key[1:] == key[:-1]
+        held = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
+        row = order[held] // (BALL + 1)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in meet(np.unique(key[held], return_inverse=True)[1], own[row], value[row])], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, rows = [], 0
+        for batch in batches:
+            kept.append([batch.column(i).to_numpy().astype(np.int64) for i in range(4)])
+            rows += batch.num_rows
+            if kept[0][0][0] != kept[-1][0][-1] and rows >= 4096:  # all cells but the last are whole
+                whole = [np.concatenate(c) for c in zip(*kept)]
+                end = np.searchsorted(whole[0], whole[0][-1])
+                yield variants(*[c[:end] for c in whole])
+                kept, rows = [[c[end:] for c in whole]], rows - end
+        if rows:
+            yield variants(*[np.concatenate(c) for c in zip(*kept)])
+
+    return durable(prints.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, schema))
+
+
+def from_hubs(variant: np.ndarray, own: np.ndarray, value: np.ndarray) -> tuple:
+    """Pairs (a < b) of each variant's hub, the row of the largest value, with its other rows; and (a, a) for every row a of a variant with three rows or more."""
+    order = np.lexsort((own, -value, variant))
+    variant, own = variant[order], own[order]
+    begin = np.flatnonzero(np.diff(variant, prepend=-1))
+    size = np.diff(begin, append=len(own))
+    hub = np.repeat(own[begin], size)
+    pairs = np.stack([np.minimum(hub, own), np.maximum(hub, own)], axis=1)[hub != own]
+    many = own[np.repeat(size, size) > 2]
+    return tuple(np.unique(np.concatenate([pairs, np.stack([many, many], axis=1)]), axis=0).T)
+
+
+def between_roots(apart: int) -> Callable[[np.ndarray, np.ndarray, np.ndarray], tuple]:
+    """For variants whose rows have several roots (the value): pairs (a < b) of a row outside the largest group with a row of another root where at most `apart` rows lie outside, else `many` with (a, 1 if outside) for every row."""
+
+    def meet(variant: np.ndarray, own: np.ndarray, root: np.ndarray) -> tuple:
+        begin = np.flatnonzero(np.diff(variant, prepend=-1))
+        mixed = np.minimum.reduceat(root, begin) < np.maximum.reduceat(root, begin) if len(begin) else np.zeros(0, bool)
+        pairs, many = set(), {}
+        for a, b in zip(begin[mixed].tolist(), np.append(begin[1:], len(own))[mixed].tolist()):
+            ids, roots = own[a:b], root[a:b]
+            each, sizes = np.unique(roots, return_counts=True)
+            outside = roots != each[len(each) - 1 - np.argmax(sizes[::-1])]
+            if outside.sum() > apart:
+                for i, o in zip(ids.tolist(), outside.tolist()):
+                    many[i] = many.get(i, False) or o
+            else:
+                x, y = np.nonzero(outside[:, None] & (roots[:, None] != roots))
+                pairs.update(zip(np.minimum(ids[x], ids[y]).tolist(), np.maximum(ids[x], ids[y]).tolist()))
+        found = np.array([(0, *p) for p in pairs] + [(1, i, int(o)) for i, o in many.items()], np.int64).reshape(-1, 3)
+        return found[:, 0] == 1, found[:, 1], found[:, 2]
+
+    return meet
+
+
 def likely(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs (a, b) whose sketches agree in three quarters of the similarity at least.
+    """Those pairs (a, b) whose sizes allow the similarity, and whose long prints differ in no more bits than those of texts alike by 0.76 of it.
 
-    At a similarity of 0.8 agreement in 96 of 160 least hashes is some six deviations below the mean.
+    At a similarity of 0.8 this is some eight deviations above the mean. Small sets, whose bits spread more, all stay.
     """
+    most = LONG * math.acos(2 * (x := 0.76 * similarity) / (1 + x)) / math.pi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= 0.75 * similarity))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(-1, LONG // 64) for i in (2, 3))
+            keep = (np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most) | (batch.column(4).to_numpy() <= 2 * TINY)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep))
 
-    a, b = (classes.select(F.col("id").alias(i), F.col("sketch").alias(f"sketch_{i}")) for i in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+    a, b = (classes.select(F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("print").alias(f"print_{i}")) for i in "ab")
+    sized = pairs.join(a, "a").join(b, "b").withColumn("n", F.least("n_a", "n_b")).where(F.col("n") >= similarity * F.greatest("n_a", "n_b"))
+    return sized.select("a", "b", "print_a", "print_b", "n").mapInArrow(run, "a long, b long")
 
 
 def wanted_texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -255,33 +378,35 @@ def rare_pairs(held: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
 def similar_edges(docs: DataFrame, classes: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Verified links (a, b) between classes that connect these as all links would.
 
-    Two bits of a SimHash are too few for texts of this similarity, so a pair is a
-    candidate if it shares any of BANDS keys of least hashes. Sketches set aside pairs that
-    cannot be alike; the rest are compared by their whole texts. First come stars, from
-    that member of each key which shares keys with the most others: among copies of one
-    text, which may be far from each other, that is the text they are near to. Then come the
-    pairs that the stars have left apart: as they are where a key leaves few members outside
-    its largest group, by their rare shingles where it leaves many.
+    Candidates come from SimHash by ball hashing, as in `near_duplicates`. Two bits of one
+    fingerprint are too few for texts of this similarity, so there are as many tables of
+    fingerprints as leave a pair of it the chance MISSED to be within RADIUS bits in none.
+    Candidates whose long prints are too far apart are set aside; the rest are compared by
+    their whole texts. First come stars, from that row of each variant which shares
+    fingerprints with the most others: among copies of one text, which may be far from each
+    other, that is the text they are near to. Then come the pairs that the stars have left
+    apart: as they are where a variant leaves few rows outside its largest group, by their
+    rare shingles where it leaves many. Sets of at most TINY shingles, whose fingerprints
+    are coarse, also meet by the ball of the set.
     """
-    rows = classes.select("id", "n", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    held = durable(rows.join(shared, "key"))
-    weight = held.groupBy("id").agg(F.sum("members").alias("weight"))
-    first = held.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("order"), "id", "n")).alias("first"))
-    met = durable(held.join(first, "key").select("key", "id", "n", F.col("first.id").alias("a"), F.col("first.n").alias("n_a")))
-    near = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
-    tried = durable(met.where("id <> a").where(near("n", "n_a")).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
+    bits = table_bits(classes.count(), similarity)
+    worded = classes.where("n > 0")
+    some = durable(table_prints(worded.withColumn("value", F.lit(0).cast("long")), bits[:WEIGHED]).select("cell", "ball", "id"))
+    often = some.groupBy("cell", "ball").agg(F.count("*").alias("members")).where("members > 1")
+    weight = some.join(often, ["cell", "ball"]).groupBy("id").agg(F.sum("members").alias("value"))
+    weighed = durable(worded.join(weight, "id", "left").select("id", "print", F.coalesce("value", F.lit(0).cast("long")).alias("value")))
+    met = balls(table_prints(weighed, bits), from_hubs, "a long, b long").distinct()
+    sums = classes.select("id", F.posexplode("sums").alias("nth", "sum"))
+    whole = sums.where("nth = 0").groupBy("sum").agg(F.min("id").alias("first"))
+    small = sums.join(whole, "sum").where("id <> first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"))
+    met = durable(met.unionByName(small).distinct())
+    tried, several = met.where("a <> b"), met.where("a = b").select(F.col("a").alias("id"))
     stars = alike(tried, classes, docs, words, similarity)
-    grouped = met.join(components(stars).withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-    # By key: the groups, the largest of them, and how many members lie outside it.
-    sizes = grouped.groupBy("key", "root").agg(F.count("*").alias("size"))
-    keys = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("most"), F.sum("size").alias("members")).where("members > most.size")
-    apart = grouped.join(keys, "key").select("key", "id", "n", "root", (F.col("root") != F.col("most.root")).alias("outside"), (F.col("members") - F.col("most.size") > APART).alias("many"))
-    apart = durable(apart)
-    few, many = apart.where("not many"), apart.where("many").groupBy("id", "root").agg(F.max("outside").alias("outside"))
-    outside = few.where("outside").select("key", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"))
-    found = outside.join(few, "key").where(F.col("root") != F.col("root_x")).where(near("n", "n_x"))
-    found = found.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).unionByName(rare_pairs(many, classes, docs, words, similarity))
+    roots = components(stars).withColumnRenamed("node", "id")
+    rest = durable(worded.join(several, "id", "left_semi").join(roots, "id", "left").select("id", "print", F.coalesce("root", "id").alias("value")))
+    apart = balls(table_prints(rest, bits), between_roots(APART), "many boolean, a long, b long")
+    many = apart.where("many").groupBy(F.col("a").alias("id")).agg((F.max("b") == 1).alias("outside")).join(rest.select("id", F.col("value").alias("root")), "id")
+    found = apart.where("not many").select("a", "b").unionByName(rare_pairs(many, classes, docs, words, similarity))
     return stars.unionByName(alike(found.distinct().join(tried, ["a", "b"], "left_anti"), classes, docs, words, similarity))
 
 

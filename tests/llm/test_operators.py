@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from bytelode.llm import bpe, fingerprint, licenses, lm, packing, pii, pretoken, quality, simhash, store, topk, toxicity
@@ -319,6 +320,49 @@ def test_recall_of_near_pairs(spark):
     assert pairs and both <= 0.1 * len(pairs)
 
 
+def test_near_copies_meet_in_balls_of_simhash(spark, monkeypatch):
+    """Candidates of the pipeline's stage are what ball hashing of SimHash fingerprints brings together, and nothing else links texts."""
+    import random
+
+    rng, rows = random.Random(11), []
+    for k in range(30):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        rows += [" ".join(base), " ".join(base[: 58 - k])]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    classes = simhash.text_classes(frame)
+    prints = {r["doc_id"]: (r["id"], np.unpackbits(np.frombuffer(r["print"], np.uint8))) for r in classes.collect()}
+    own, mask, ones = simhash.shingle_hashes(rows[0], 5).tolist(), (1 << 64) - 1, Counter()
+    for h in own:
+        for word in range(simhash.LONG // 64):
+            x = h + (word + 1) * 0x9E3779B97F4A7C15 & mask
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+            ones.update(64 * word + 8 * b + 7 - i for b, byte in enumerate((x ^ x >> 31).to_bytes(8, "little")) for i in range(8) if byte >> i & 1)
+    assert prints[0][1].tolist() == [int(2 * ones[i] > len(own)) for i in range(simhash.LONG)]
+
+    bits = simhash.table_bits(len(rows), 0.8)
+    exact = bits.shape[1] - simhash.BALL
+    assert simhash.missed(len(bits), exact, 0.8) <= 3e-6 and all(len(set(b)) == len(b) for b in bits.tolist())
+    values = [(p[bits] @ (1 << np.arange(bits.shape[1]))).tolist() for _, p in prints.values()]
+    ids, low = [i for i, _ in prints.values()], (1 << exact) - 1
+    near = {(min(ids[a], ids[b]), max(ids[a], ids[b])) for a in range(len(ids)) for b in range(a) if any((d := x ^ y) & low == 0 and d.bit_count() <= 2 for x, y in zip(values[a], values[b]))}
+    met = simhash.balls(simhash.table_prints(classes.selectExpr("id", "print", "0L value"), bits), simhash.from_hubs, "a long, b long")
+    pairs = {(r["a"], r["b"]) for r in met.where("a <> b").collect()}
+    linked = lambda edges: {(r["node"], r["root"]) for r in simhash.components(spark.createDataFrame(sorted(edges), "a long, b long")).collect()}
+    assert pairs <= near and len(near) >= 10 and linked(pairs) == linked(near)
+
+    assert simhash.keep_first(frame).count() < len(rows)
+    monkeypatch.setattr(simhash, "balls", lambda prints, meet, schema: spark.createDataFrame([], schema))
+    assert simhash.keep_first(frame).count() == len(rows)
+
+
+def test_near_copies_of_few_words(spark):
+    """Texts of eight words are alike by 0.8 to the same with a ninth; bits of so small sets spread more, so these meet by leaving one shingle out."""
+    rows = [(2 * k + more, " ".join(f"v{k}x{i}" for i in range(8 + more))) for k in range(300) for more in (0, 1)] + [(1000, "V0x0 " + " ".join(f"v0x{i}" for i in range(1, 8)))]
+    kept = [r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept) == list(range(0, 600, 2))
+
+
 def test_keep_first_of_odd_rows(spark):
     base = sentence(5, 50)
     rows = [(1, base, 0, 0, "x"), (1, sentence(90, 50), 0, 0, "x"), (None, base, 0, 0, "x"), (None, "alone here", 0, 0, "x"), (None, "alone  here", 0, 0, "x"), (3, base.upper(), 0, 0, "x"), (4, None, 0, 0, "x"), (5, " ", 0, 0, "x")]
