@@ -30,7 +30,7 @@ from .store import bounded_batches, durable, forget, in_chunks, texts_of
 BITS = 64
 RADIUS = 2
 SEED = 42
-#: Bits of the long print from which tables take theirs, bits of a table's ball, and the chance that a pair of the similarity may be missed by all tables.
+#: Bits of the long print from which tables take theirs, bits of a table's ball, and the chance that a pair of the similarity may be missed by all tables (of large sets; up to some ten times that for sets of 6 to 25 shingles).
 LONG, BALL, MISSED = 2048, 26, 3e-6
 #: Cells hold about two to this power rows, so that their variants fit into a worker.
 CELL = 14
