@@ -34,10 +34,12 @@ SEED = 42
 LONG, BALL, MISSED = 2048, 26, 3e-6
 #: Cells hold about two to this power rows, so that their variants fit into a worker.
 CELL = 14
-#: Tables by which rows are weighed, and the most shingles of sets that also meet by leaving one out.
+#: Tables by which rows are weighed and get their hub, and the most shingles of sets that also meet by leaving one out.
 WEIGHED, TINY = 16, 5
-#: Up to so many rows of a variant outside its largest group are paired with all its rows, so pairs stay within so many times the rows; more go by rare shingles.
-APART = 8
+#: Rows that meet others up to so often in the weighed tables are paired with all they meet, so pairs grow with the rows; those that meet more go by rare shingles among each other.
+APART = 90
+#: Up to so many edges (16 bytes each) are joined on the driver; more go by rounds.
+GATHERED = 100_000
 #: Up to so many wanted texts (some 60 bytes each) their names are sent to all tasks.
 SENT = 200_000
 
@@ -89,10 +91,13 @@ def close_stars(prints: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b), root being the least node reachable.
 
-    Large-star and small-star rounds alternate until the edges no longer change;
+    Few edges are joined in one place, since each round costs the driver some twenty stages.
+    Of more, large-star and small-star rounds alternate until the edges no longer change;
     the rounds grow as the logarithm of the nodes.
     """
     edges = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    if edges.count() <= GATHERED:
+        return _gathered(edges)
     told = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -109,6 +114,24 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _gathered(edges: DataFrame) -> DataFrame:
+    """What `components` returns, of at most GATHERED edges (u, v)."""
+    got = edges.toArrow()
+    names, at = np.unique(np.concatenate([got.column(i).to_numpy() for i in range(2)]), return_inverse=True)
+    root = list(range(len(names)))  # names ascend, so the least place is the least name
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in at.reshape(2, -1).T.tolist():
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    roots = names[np.array([find(x) for x in range(len(names))], np.int64)]
+    return edges.sparkSession.createDataFrame(pa.table({"node": pa.array(names, pa.int64()), "root": pa.array(roots, pa.int64())}))
+
+
 def _stars(edges: DataFrame, keep, centre: bool = False) -> DataFrame:
     """Links the neighbours v of each u that `keep` holds for to the least of v and u; with `centre` also u itself."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))  # summed up before the shuffle, so a hub costs a row a task
@@ -277,29 +300,66 @@ def from_hubs(variant: np.ndarray, own: np.ndarray, value: np.ndarray) -> tuple:
     return tuple(np.unique(np.concatenate([pairs, np.stack([many, many], axis=1)]), axis=0).T)
 
 
-def between_roots(apart: int) -> Callable[[np.ndarray, np.ndarray, np.ndarray], tuple]:
-    """For variants whose rows have several roots (the value): pairs (a < b) of a row outside the largest group with a row of another root where at most `apart` rows lie outside, else `many` with (a, 1 if outside) for every row."""
-
-    def meet(variant: np.ndarray, own: np.ndarray, root: np.ndarray) -> tuple:
-        begin = np.flatnonzero(np.diff(variant, prepend=-1))
-        mixed = np.minimum.reduceat(root, begin) < np.maximum.reduceat(root, begin) if len(begin) else np.zeros(0, bool)
-        pairs, many = set(), {}
-        for a, b in zip(begin[mixed].tolist(), np.append(begin[1:], len(own))[mixed].tolist()):
-            ids, roots = own[a:b], root[a:b]
-            each, sizes = np.unique(roots, return_counts=True)
-            outside = roots != each[len(each) - 1 - np.argmax(sizes[::-1])]
-            if outside.sum() > apart:
-                for i, o in zip(ids.tolist(), outside.tolist()):
-                    many[i] = many.get(i, False) or o
-            else:
-                x, y = np.nonzero(outside[:, None] & (roots[:, None] != roots))
-                pairs.update(zip(np.minimum(ids[x], ids[y]).tolist(), np.maximum(ids[x], ids[y]).tolist()))
-        found = np.array([(0, *p) for p in pairs] + [(1, i, int(o)) for i, o in many.items()], np.int64).reshape(-1, 3)
-        return found[:, 0] == 1, found[:, 1], found[:, 2]
+def meetings(variant: np.ndarray, own: np.ndarray, value: np.ndarray) -> tuple:
+    """Each row and how often it meets others."""
+    size = np.bincount(variant)[variant] if len(variant) else variant
+    ids, at = np.unique(own, return_inverse=True)
+    return ids, np.bincount(at, size - 1, len(ids)).astype(np.int64)
+
+
+def best_hubs(similarity: float) -> Callable[[np.ndarray, np.ndarray, np.ndarray], tuple]:
+    """For values that hold a row's weight and, in the low 24 bits, its size: each row's hub of the largest value among those whose size allows the similarity, with that value."""
+
+    def meet(variant: np.ndarray, own: np.ndarray, value: np.ndarray) -> tuple:
+        ids, first = np.unique(own, return_index=True)
+        value_of = lambda rows: value[first][np.searchsorted(ids, rows)]
+        a, b = (np.asarray(c, np.int64) for c in from_hubs(variant, own, value))
+        a, b = a[a != b], b[a != b]
+        swapped = value_of(a) >= value_of(b)  # then a is the hub; of equal values the lesser id
+        row, hub = np.where(swapped, b, a), np.where(swapped, a, b)
+        n, n_hub = (value_of(c) & (1 << 24) - 1 for c in (row, hub))
+        sized = np.minimum(n, n_hub) >= similarity * np.maximum(n, n_hub)
+        row, hub = row[sized], hub[sized]
+        order = np.lexsort((hub, -value_of(hub), row))
+        row, hub = row[order], hub[order]
+        best = np.flatnonzero(np.diff(row, prepend=-1))
+        return row[best], hub[best], value_of(hub[best])
 
     return meet
 
 
+def between_roots(variant: np.ndarray, own: np.ndarray, value: np.ndarray) -> tuple:
+    """For values that hold a row's root and, in the lowest bit, whether it is crowded: pairs (a < b) of rows of different roots that meet, of which one at least is not crowded; and `many` with (a, 1 if outside the largest group) for every crowded row that meets crowded ones of another root."""
+    root, crowded = value >> 1, (value & 1).astype(bool)
+    pairs = [np.zeros((0, 2), np.int64)]
+    begin = np.flatnonzero(np.diff(variant, prepend=-1))
+    size = np.diff(begin, append=len(variant))
+    mixed = np.repeat(np.minimum.reduceat(root, begin) < np.maximum.reduceat(root, begin), size) if len(begin) else crowded
+    light = np.flatnonzero(mixed & ~crowded)
+    start, length = np.repeat(begin, size)[light], np.repeat(size, size)[light]
+    for block in np.split(np.arange(len(light)), np.flatnonzero(np.diff(np.cumsum(length) >> 20)) + 1):  # a bounded block of pairs at a time
+        each = length[block]
+        x = np.repeat(light[block], each)
+        y = np.repeat(start[block] - np.cumsum(each) + each, each) + np.arange(each.sum())
+        x, y = x[root[x] != root[y]], y[root[x] != root[y]]
+        pairs.append(np.unique(np.stack([np.minimum(own[x], own[y]), np.maximum(own[x], own[y])], axis=1), axis=0))
+    pairs = np.unique(np.concatenate(pairs), axis=0)
+
+    dense = np.flatnonzero(mixed & crowded)
+    dense = dense[np.lexsort((root[dense], variant[dense]))]
+    group = np.flatnonzero(np.diff(variant[dense], prepend=-1).astype(bool) | np.diff(root[dense], prepend=-1).astype(bool))
+    count = np.diff(group, append=len(dense))
+    of = variant[dense][group]
+    order = np.lexsort((-count, of))  # the largest group of each variant first
+    outside = np.ones(len(group), bool)
+    outside[order[np.flatnonzero(np.diff(of[order], prepend=-1))]] = False
+    several = np.isin(of, of[outside])
+    ids, at = np.unique(own[dense][np.repeat(several, count)], return_inverse=True)
+    out = np.zeros(len(ids), np.int64)
+    np.maximum.at(out, at, np.repeat(outside, count)[np.repeat(several, count)].astype(np.int64))
+    return np.repeat([False, True], [len(pairs), len(ids)]), np.concatenate([pairs[:, 0], ids]), np.concatenate([pairs[:, 1], out])
+
+
 def likely(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """Those pairs (a, b) whose sizes allow the similarity, and whose long prints differ in no more bits than those of texts alike by 0.76 of it.
 
@@ -382,30 +442,28 @@ def similar_edges(docs: DataFrame, classes: DataFrame, words: int = 5, similarit
     fingerprint are too few for texts of this similarity, so there are as many tables of
     fingerprints as leave a pair of it the chance MISSED to be within RADIUS bits in none.
     Candidates whose long prints are too far apart are set aside; the rest are compared by
-    their whole texts. First come stars, from that row of each variant which shares
-    fingerprints with the most others: among copies of one text, which may be far from each
-    other, that is the text they are near to. Then come the pairs that the stars have left
-    apart: as they are where a variant leaves few rows outside its largest group, by their
-    rare shingles where it leaves many. Sets of at most TINY shingles, whose fingerprints
-    are coarse, also meet by the ball of the set.
+    their whole texts. First each row is held against one hub, of those that it meets in the
+    first tables the row that meets the most others: among copies of one text, which may be
+    far from each other, that is the text they are near to. Then come, from all tables, all
+    pairs that this has left apart: as they are where one of the two rows meets few others, by
+    their rare shingles where both meet many. Sets of at most TINY shingles, whose
+    fingerprints are coarse, also meet by the ball of the set.
     """
     bits = table_bits(classes.count(), similarity)
     worded = classes.where("n > 0")
-    some = durable(table_prints(worded.withColumn("value", F.lit(0).cast("long")), bits[:WEIGHED]).select("cell", "ball", "id"))
-    often = some.groupBy("cell", "ball").agg(F.count("*").alias("members")).where("members > 1")
-    weight = some.join(often, ["cell", "ball"]).groupBy("id").agg(F.sum("members").alias("value"))
-    weighed = durable(worded.join(weight, "id", "left").select("id", "print", F.coalesce("value", F.lit(0).cast("long")).alias("value")))
-    met = balls(table_prints(weighed, bits), from_hubs, "a long, b long").distinct()
+    weight = balls(table_prints(worded.withColumn("value", F.lit(0).cast("long")), bits[:WEIGHED]), meetings, "id long, meets long").groupBy("id").agg(F.sum("meets").alias("meets"))
+    weighed = durable(worded.join(weight, "id", "left").select("id", "print", "n", F.coalesce("meets", F.lit(0)).alias("meets")))
+    sized = weighed.where("meets > 0").withColumn("value", F.shiftleft("meets", 24) + F.least("n", F.lit((1 << 24) - 1)))
+    hubs = balls(table_prints(sized, bits[:WEIGHED]), best_hubs(similarity), "id long, hub long, value long").groupBy("id").agg((-F.max(F.struct("value", (-F.col("hub")).alias("other")))["other"]).alias("hub"))
     sums = classes.select("id", F.posexplode("sums").alias("nth", "sum"))
     whole = sums.where("nth = 0").groupBy("sum").agg(F.min("id").alias("first"))
     small = sums.join(whole, "sum").where("id <> first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"))
-    met = durable(met.unionByName(small).distinct())
-    tried, several = met.where("a <> b"), met.where("a = b").select(F.col("a").alias("id"))
+    tried = durable(hubs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).unionByName(small).distinct())
     stars = alike(tried, classes, docs, words, similarity)
     roots = components(stars).withColumnRenamed("node", "id")
-    rest = durable(worded.join(several, "id", "left_semi").join(roots, "id", "left").select("id", "print", F.coalesce("root", "id").alias("value")))
-    apart = balls(table_prints(rest, bits), between_roots(APART), "many boolean, a long, b long")
-    many = apart.where("many").groupBy(F.col("a").alias("id")).agg((F.max("b") == 1).alias("outside")).join(rest.select("id", F.col("value").alias("root")), "id")
+    rest = durable(weighed.join(roots, "id", "left").select("id", "print", (F.shiftleft(F.coalesce("root", "id"), 1) + (F.col("meets") > APART).cast("long")).alias("value")))
+    apart = balls(table_prints(rest, bits), between_roots, "many boolean, a long, b long")
+    many = apart.where("many").groupBy(F.col("a").alias("id")).agg((F.max("b") == 1).alias("outside")).join(rest.select("id", F.shiftright("value", 1).alias("root")), "id")
     found = apart.where("not many").select("a", "b").unionByName(rare_pairs(many, classes, docs, words, similarity))
     return stars.unionByName(alike(found.distinct().join(tried, ["a", "b"], "left_anti"), classes, docs, words, similarity))
 

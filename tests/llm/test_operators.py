@@ -672,3 +672,37 @@ def test_reliabilities():
     for a, b in itertools.product((-1, 1), repeat=2):
         assert abs(posterior[a, b, 1, 1] - posterior[a, b, 1, -1]) < abs(posterior[1, a, b, 1] - posterior[-1, a, b, 1]) + 0.05
     assert posterior[1, 1, 1, -1] > 0.9 and posterior[-1, -1, -1, 1] < 0.1
+
+
+def test_components_gathered_or_by_rounds(spark, monkeypatch):
+    """Few edges run no rounds of jobs, which fill the driver; both ways give the same."""
+    import random
+
+    rng = random.Random(5)
+    pairs = {(min(p), max(p)) for p in ((rng.randrange(-150, 150) << 40, rng.randrange(-150, 150) << 40) for _ in range(140)) if p[0] != p[1]}
+    edges, told = spark.createDataFrame(sorted(pairs), "a long, b long"), []
+    monkeypatch.setattr(simhash, "_stars", lambda *a, f=simhash._stars, **b: told.append(1) or f(*a, **b))
+    few = sorted(map(tuple, simhash.components(edges).collect()))
+    assert not told and simhash.components(edges.limit(0)).collect() == []
+    monkeypatch.setattr(simhash, "GATHERED", 0)
+    assert sorted(map(tuple, simhash.components(edges).collect())) == few and told
+
+
+def test_pairs_of_copies_that_strayed(spark, monkeypatch):
+    """Copies that strayed from one text, each in its own way, meet each other but are not alike: few of their pairs are compared, and no link is lost."""
+    import random
+
+    rng, base = random.Random(3), [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 240):
+        copy = base[:]
+        for at in rng.sample(range(2, 198, 5), 3 if k % 8 == 0 else 5):
+            copy[at] = f"new{k}x{at}"
+        rows.append((k, " ".join(copy)))
+    rows += [(1000 + k, rows[k][1] + " end") for k in range(1, 60, 7)]
+    want = sorted(min(rows[k][0] for k in g) for g in brute_groups(rows))
+    frame, sizes = spark.createDataFrame(rows, "doc_id long, text string"), []
+    monkeypatch.setattr(simhash, "APART", 8)  # as crowded as a few hundred rows can be
+    monkeypatch.setattr(simhash, "likely", lambda pairs, *a, f=simhash.likely: sizes.append(pairs.count()) or f(pairs, *a))
+    assert sorted(r["doc_id"] for r in simhash.keep_first(frame).collect()) == want
+    assert 100 < len(want) < 240 and sum(sizes) <= 8 * len(rows), sizes
